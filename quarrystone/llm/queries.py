@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import secrets
+from . import packing, secrets, split
+from .tokens import TOKEN_PATTERN, setting
 
 QUERIES: dict = {}
 
@@ -28,3 +29,41 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
 @query
 def p1_redacted(s: SparkSession, d: str) -> DataFrame:
     return secrets.places(read(s, d, "chunks")).select("chunk_id", F.size("line_nos").alias("n_places"), "redacted")
+
+
+# -- problem 2: oversized items -------------------------------------------------------------------
+
+
+def _pieces(s: SparkSession, d: str) -> DataFrame:
+    meta = read(s, d, "meta")
+    return split.pieces(read(s, d, "chunks"), int(setting(meta, "split.max_bytes", "6000")), int(setting(meta, "split.overlap_bytes", "240")))
+
+
+@query
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return _pieces(s, d).where("n_pieces > 1").select("chunk_id").distinct()
+
+
+@query
+def p2_pieces(s: SparkSession, d: str) -> DataFrame:
+    return _pieces(s, d)
+
+
+# -- problem 6: containers ------------------------------------------------------------------------
+
+
+def _packed(s: SparkSession, d: str) -> tuple[DataFrame, int]:
+    meta = read(s, d, "meta")
+    capacity = int(setting(meta, "pack.capacity_tokens", "2048"))
+    items = packing.sized(read(s, d, "documents"), setting(meta, "token.pattern", TOKEN_PATTERN))
+    return packing.pack(items, capacity), capacity
+
+
+@query
+def p6_containers(s: SparkSession, d: str) -> DataFrame:
+    return _packed(s, d)[0]
+
+
+@query
+def p6_report(s: SparkSession, d: str) -> DataFrame:
+    return packing.pack_report(*_packed(s, d))

@@ -1,3 +1,5 @@
 """DuckDB SQL of the registered queries of this package."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": "select distinct id as chunk_id from chunks where strlen(source) > 6000",
+}
