@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import packing, secrets, split
+from . import packing, secrets, split, stuffing
 from .tokens import TOKEN_PATTERN, setting
 
 QUERIES: dict = {}
@@ -67,3 +67,17 @@ def p6_containers(s: SparkSession, d: str) -> DataFrame:
 @query
 def p6_report(s: SparkSession, d: str) -> DataFrame:
     return packing.pack_report(*_packed(s, d))
+
+
+# -- problem 8: stuffed pages ---------------------------------------------------------------------
+
+
+@query
+def p8_found(s: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(read(s, d, "documents")).select("doc_id").distinct()
+
+
+@query
+def p8_report(s: SparkSession, d: str) -> DataFrame:
+    found = stuffing.stuffed_pages(read(s, d, "documents"))
+    return found.groupBy("lang").agg(F.countDistinct("doc_id").alias("pages"), F.round(F.avg("stuffed_share"), 3).alias("mean_share"))
