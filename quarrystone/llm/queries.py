@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import packing, secrets, split, stuffing
+from . import packing, secrets, split, stuffing, syntax
 from .tokens import TOKEN_PATTERN, setting
 
 QUERIES: dict = {}
@@ -81,3 +81,16 @@ def p8_found(s: SparkSession, d: str) -> DataFrame:
 def p8_report(s: SparkSession, d: str) -> DataFrame:
     found = stuffing.stuffed_pages(read(s, d, "documents"))
     return found.groupBy("lang").agg(F.countDistinct("doc_id").alias("pages"), F.round(F.avg("stuffed_share"), 3).alias("mean_share"))
+
+
+# -- problem 5: files that do not parse -----------------------------------------------------------
+
+
+@query
+def p5_found(s: SparkSession, d: str) -> DataFrame:
+    return syntax.file_verdicts(read(s, d, "chunks"), read(s, d, "files")).where("verdict != 'ok'").select("path")
+
+
+@query
+def p5_rates(s: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(syntax.file_verdicts(read(s, d, "chunks"), read(s, d, "files")))
