@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import packing, secrets, split, stuffing, syntax
+from . import origin, packing, secrets, split, stuffing, syntax
 from .tokens import TOKEN_PATTERN, setting
 
 QUERIES: dict = {}
@@ -94,3 +94,16 @@ def p5_found(s: SparkSession, d: str) -> DataFrame:
 @query
 def p5_rates(s: SparkSession, d: str) -> DataFrame:
     return syntax.rates(syntax.file_verdicts(read(s, d, "chunks"), read(s, d, "files")))
+
+
+# -- problem 4: generated, minified, vendored files and data --------------------------------------
+
+
+@query
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return origin.origins(read(s, d, "chunks"), read(s, d, "files")).select("path")
+
+
+@query
+def p4_origins(s: SparkSession, d: str) -> DataFrame:
+    return origin.origins(read(s, d, "chunks"), read(s, d, "files")).groupBy("origin").agg(F.count("*").alias("files"))
