@@ -195,6 +195,6 @@ def origins(chunks: DataFrame, files: DataFrame) -> DataFrame:
     origin = (
         F.when((F.col("literal") >= 0.5) & (F.col("fresh") >= 0.6), "data")
         .when((F.col("long_lines") >= 0.5) & (F.col("spaces") < 0.12), "minified")
-        .when((shared >= 0.75) & (long >= 60) | (shared >= 0.9) & (long >= 24), "vendored").when(generated, "generated")
+        .when(generated, "generated").when((shared >= 0.75) & (long >= 60) | (shared >= 0.9) & (long >= 24), "vendored")
     )
     return judged.select("path", origin.alias("origin")).where("origin is not null").join(files.select("path").distinct(), "path", "left_semi")

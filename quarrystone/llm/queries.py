@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import origin, packing, secrets, split, stuffing, syntax
+from . import mixing, origin, packing, secrets, split, stuffing, syntax
 from .tokens import TOKEN_PATTERN, setting
 
 QUERIES: dict = {}
@@ -107,3 +107,22 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 @query
 def p4_origins(s: SparkSession, d: str) -> DataFrame:
     return origin.origins(read(s, d, "chunks"), read(s, d, "files")).groupBy("origin").agg(F.count("*").alias("files"))
+
+
+# -- problem 7: mixture ---------------------------------------------------------------------------
+
+
+def _mixture(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    meta = read(s, d, "meta")
+    fraction = float(setting(meta, "mix.budget_fraction", "0.6"))
+    return mixing.mixture(read(s, d, "documents"), read(s, d, "mix_targets"), fraction, setting(meta, "token.pattern", TOKEN_PATTERN))
+
+
+@query
+def p7_chosen(s: SparkSession, d: str) -> DataFrame:
+    return _mixture(s, d)[0]
+
+
+@query
+def p7_shares(s: SparkSession, d: str) -> DataFrame:
+    return _mixture(s, d)[1]
