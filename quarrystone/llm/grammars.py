@@ -136,18 +136,18 @@ def _c_family(name: str, plus: bool, java: bool) -> Language:
     path = (r"q?i(?:qi)*" if plus else r"i(?:\.i)*" if java else "i") + (f"(?:{args}(?:qi)*)?" if plus or java else "")
     kind = rf"(?>(?:M|@i(?:\.i)*P?)*(?:T+|D?{path})(?:M|B)*)" if java else rf"(?>M*(?:T+|D?{path})M*)"
     star = "" if java else "[uM]*"
-    new = rf"w(?:T|{path})(?:PX?|B*X?)|" if java or plus else ""
+    new = rf"V(?:T|{path})(?:PX?|B*X?)|" if java else ""
     lam = r"BP?M?(?:r(?:T|i(?:qi)*)u*)?X|" if plus else ""
     atom = rf"{new}{lam}sPX|i|d|P|T|X"
-    post = r"\.[iD]|qi|ri|P|B|c" + (rf"|{args}(?=P|X|qi)" if plus else "")
-    expr = _expression(atom, post, r"[unc]|P(?=[idPnwTX])", r"[ouvr]|<|>{1,3}" if java else r"[ouv]|<|>{1,2}")
+    post = r"\.[iD]|q[iV]|ri|P|B|c" + (rf"|{args}(?=P|X|qi)" if plus else "")
+    expr = _expression(atom, post, r"[unc]|P(?=[idPnVTX])", r"[ouvr]|<|>{1,3}" if java else r"[ouv]|<|>{1,2}")
     value = rf"{expr}(?:={expr})*+"
     declarator = rf"{star}i(?:B|P)*(?:={value}|X)?"
     item = rf"(?:\.i=)?{value}" if not java else value
     parameter = rf"{kind}(?:{star}s?i?B*|{star}B*)(?:={expr})?" if not java else rf"{kind}s?iB*"
     generic = rf"(?:{args})?"
     statements = [
-        r";", r"X", rf"R(?:{value})?;", r"ki?;", r"i:(?!:)", rf"(?:C{expr}(?:,{expr})*|Z)[:r]", r"dXwP;", r"tP?X(?:hPX)*(?:yX)?", r"sPX",
+        r";", r"X", rf"R(?:{value})?;", r"ki?;", r"i:(?!:)", rf"(?:C{expr}(?:,{expr})*|Z)[:r]", r"xXwP;", r"tP?X(?:hPX)*(?:yX)?", r"sPX",
         rf"{kind}{declarator}(?:,{declarator})*;", rf"{value}(?:,{value})*;",
     ]
     if java:
@@ -168,12 +168,12 @@ def _c_family(name: str, plus: bool, java: bool) -> Language:
         name,
         rf"{_COMMENT}|\"\"\"[\s\S]*?\"\"\"|(?:u8|[LuUR])?{_STRING}|{_CHAR}|{_NAME}|{_NUMBER}|{_OP}|\S" if java else rf"{_COMMENT}|(?m:^[ \t]*\#(?:[^\n\\]|\\[\s\S])*)|(?:u8|[LuUR])?{_STRING}|{_CHAR}|{_NAME}|{_NUMBER}|{_OP}|\S",
         {
-            "f": "if synchronized" if java else "if", "l": "for", "w": "while new" if False else "while", "e": "else", "R": "return throw yield" if java else "return throw goto" if plus else "return goto",
-            "k": "break continue", "s": "switch", "C": "case", "Z": "default", "d": "do", "K": "extends implements throws permits", "t": "try", "h": "catch", "y": "finally",
+            "f": "if synchronized" if java else "if", "l": "for", "w": "while", "e": "else", "R": "return throw yield" if java else "return throw goto" if plus else "return goto",
+            "k": "break continue", "s": "switch", "C": "case", "Z": "default", "x": "do", "K": "extends implements throws permits", "t": "try", "h": "catch", "y": "finally",
             "T": "void int long short byte char float double boolean" if java else "void int long short char float double signed unsigned bool" + (" auto" if plus else " _Bool"),
             "M": "public private protected static final abstract native transient volatile strictfp" if java else "const static extern inline volatile register restrict typedef" + (" public private protected virtual explicit constexpr mutable noexcept override friend thread_local" if plus else ""),
             "D": "class interface enum" if java else "struct enum union" + (" class" if plus else ""), "m": "import package" if java else "",
-            **({"o": "instanceof"} if java else {"z": "template", "G": "namespace", "U": "using", "O": "operator"} if plus else {}),
+            **({"o": "instanceof", "V": "new"} if java else {"z": "template", "G": "namespace", "U": "using", "O": "operator"} if plus else {}),
         } | ({"u": "new delete"} if plus else {}),
         statements, {"(": in_parens, "[": ["", expr] if java or not plus else ["", rf"{expr}", r"[u=,is]*"], "{": [rf"{item}(?:,{item})*,?", rf"i(?:={expr})?(?:,i(?:={expr})?)*,?"]},
         skip=_COMMENT if java else _COMMENT + r"|[ \t]*\#[ \t]*(?:include|define|if|ifdef|ifndef|else|elif|endif|pragma|undef|error|line|warning)\b",
@@ -181,22 +181,22 @@ def _c_family(name: str, plus: bool, java: bool) -> Language:
 
 
 def _script(name: str, typed: bool) -> Language:
-    simple = r"(?:P(?:a[iu])?|[iTM]|d|[XY]|u(?=[iTd])|u)(?:\.i)*(?:<[^;(){}]*?>)?B*"
+    simple = r"(?:P(?:a[iu])?|[iTM]|d|[XY]|u(?=[iTd])|u)(?:\.i)*(?:<(?:(?!==)[^;(){}])*?>)?B*"
     kind = rf"v?{simple}(?:[vu]{simple})*(?:o{simple})?"
-    note = rf"(?:[?n]?:(?:{kind}))?" if typed else ""
-    generic = r"(?:<[^;(){}]*?>)?" if typed else ""
+    note = rf"(?:[?n]?:(?:ii(?=[iTud]))?(?:{kind}))?" if typed else ""
+    generic = r"(?:<(?:(?!==)[^;(){}])*?>)?" if typed else ""
     atom = rf"M*Fu?i?{generic}P{note}X|Di?(?:Ki)?X|M?P{note}(?=a)|Mi(?=a)|i|d|P|B|[XY]"
-    post = r"\.[iDFMKZCRtmyGUfelwkshTod]|P|B|c|d" + (rf"|z(?:{kind})|n(?![idPBX(])|{'<[^;(){}]*?>(?=P)'}" if typed else "")
+    post = r"\.[iDFMKZCRtmyGUfelwkshTod]|P|B|c|d" + (rf"|z(?:{kind})|n(?![idPBX(])|{'<(?:(?!==)[^;(){}])*?>(?=P)'}" if typed else "")
     expr = _expression(atom, post, r"[uncs]", r"[ouva]|<|>{1,3}")
     value = rf"{expr}(?:={expr})*+"
     target = rf"[iBXY]n?{note}"
     key = r"(?:[iDFMKZCRtmyGUfelwkshTdo]|B|d)"
     parameter = rf"(?:@iP?)*(?:M)*s?{target}(?:={expr})?"
-    entry = rf"(?:{key}:{value}|s?{value}|M*u?{key}{generic}P{note}X)"
+    entry = rf"(?:{key}:{value}|s?{value}|M*(?:i(?=[id]))?u?{key}{generic}P{note}X)"
     statements = [
         r";", rf"R(?:{value}(?:,{value})*)?;?", r"ki?;?", rf"(?:C{expr}|Z):", r"xXwP;?", r"tX(?:hP?X)?(?:yX)?", r"sPX", rf"M*t{target}(?:={value})?(?:,{target}(?:={value})?)*(?:;|$)",
         rf"M*Fu?i{generic}P{note}(?:X|;)", rf"(?:@i(?:\.i)*P?)*M*Di?{generic}(?:K{expr}{generic}(?:,i{generic})*)*X", r"m(?:y?(?:i|X|uzi)(?:,(?:X|uzi))*i)?d(?:;|$)", r"M+(?:X|u)(?:zi)?(?:id)?(?:;|$)",
-        rf"(?:@iP?)*M*u?{key}{generic}P{note}X", rf"M*{key}[?n]?{note}(?:={value})?(?:;|$)" if typed else rf"M*{key}(?:={value})(?:;|$)", rf"M*{value}(?:,{value})*(?:;|$)", r"i:(?=[lwx])", r"X",
+        rf"(?:@iP?)*M*(?:i(?=[id]))?u?{key}{generic}P{note}X", rf"M*{key}[?n]?{note}(?:={value})?(?:;|$)" if typed else rf"M*{key}(?:={value})(?:;|$)", rf"M*{value}(?:,{value})*(?:;|$)", r"i:(?=[lwx])", r"X",
     ]
     if typed:
         statements += [rf"M*yi{generic}=(?:{kind})(?:;|$)", r"M*Gi(?:\.i)*X", rf"M*(?:i\??|B)?{generic}P?:(?:{kind})[;,]?"]
@@ -224,13 +224,14 @@ def _rust() -> Language:
     kind = rf"(?>[uM]*(?:q?i(?:qi)*(?:q?<{inner}?>)?(?:qi(?:<{inner}?>)?)*|P|B|n|FP(?:r[uM]*i)?)(?:ui(?:qi)*)*)"
     wide = rf"[uM]*(?:q?i(?:q?i|q?<{inner}>)*|P|B|n|FP(?:r[uM]*i)?)(?:ui(?:q?i|<{inner}>)*)*"
     block = r"(?:M?X)"
-    atom_flat = r"i(?:qi)*n[PB]|q?i|d|P|B|Mv[^v;X]*v(?:r{k})?|v[^v;X]*v(?:r{k})?|o(?=$|[,;)\]])".replace("{k}", wide)
+    atom_flat = r"i(?:qi)*n[PB]|q?i|d|P|B|o(?=$|[,;)\]])"
     post_flat = rf"\.(?:i|d|M)|q(?:i|<{inner}>)|P|B|\?|z{kind}"
-    condition = _expression(atom_flat, post_flat, r"[uMno]|R|k", r"[ouv=]|<|>{1,2}|L[^=]*=")
+    closure = rf"v[^v;X]*v(?:r{wide})?"
+    condition = _expression(atom_flat, post_flat, rf"[uMno]|R|k|{closure}", r"[ouv=]|<|>{1,2}|L[^=]*=")
     branch = rf"f(?:L[^=;X]*=)?{condition}X(?:ef(?:L[^=;X]*=)?{condition}X)*(?:eX)?"
     loop = rf"s{condition}X|l[^;X]*?I{condition}X|w(?:L[^=;X]*=)?{condition}X|xX|M?X"
     atom = rf"{branch}|{loop}|i(?:qi)*nX|(?:q?i(?:qi)*X)|{atom_flat}"
-    expr = _expression(atom, post_flat, r"[uMno]|R|k", r"[ouv]|<|>{1,2}")
+    expr = _expression(atom, post_flat, rf"[uMno]|R|k|{closure}", r"[ouv]|<|>{1,2}")
     value = rf"{expr}(?:={expr})*+"
     pattern = r"v?[uM]*(?:q?i(?:qi)*[PX]?|P|B|[un]?d|o)(?:[vo][uM]*(?:i(?:qi)*[PX]?|[un]?d|P|B))*"
     where = r"(?:W[^X;]*)?"

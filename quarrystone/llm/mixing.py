@@ -54,9 +54,9 @@ class SourceClassifier:
         self.classes, self.weights = classes, weights
 
     @classmethod
-    def train(cls, texts: list[str | None], labels: list[str], epochs: int = EPOCHS) -> SourceClassifier:
+    def train(cls, bags: np.ndarray, labels: list[str], epochs: int = EPOCHS) -> SourceClassifier:
         classes = sorted(set(labels))
-        x = np.hstack([np.stack([bag(t) for t in texts]), np.ones((len(texts), 1), np.float32)])
+        x = np.hstack([bags, np.ones((len(bags), 1), np.float32)])
         y = np.eye(len(classes), dtype=np.float32)[[classes.index(k) for k in labels]]
         w = np.zeros((x.shape[1], len(classes)), np.float32)
         step = np.zeros_like(w)
@@ -79,13 +79,26 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train_classifier(documents: DataFrame, listed: list[str], sample: int = SAMPLE, held_out: bool = False) -> SourceClassifier | None:
     """A classifier of the listed sources, from at most ``sample`` labelled documents.
 
-    The sample is drawn by a hash of doc_id; ``held_out`` takes the other half of the hashes, for
-    measuring. Without labelled documents there is none.
+    The sample is drawn by a hash of doc_id from one half of the hashes; ``held_out`` takes the
+    other half, for measuring. Only hashed word counts of it come to the driver (2 kB a document,
+    whatever its length). Without labelled documents there is none.
     """
-    labelled = documents.where(F.col("text").isNotNull() & source_name(F.col("source")).isin(listed))
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == (1 if held_out else 0)
-    rows = labelled.where(half).select("text", source_name(F.col("source")).alias("s")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    return SourceClassifier.train([r["text"] for r in rows], [r["s"] for r in rows]) if rows else None
+    labelled = documents.where(F.col("text").isNotNull() & source_name(F.col("source")).isin(listed) & half).select("doc_id", "text", source_name(F.col("source")).alias("s"))
+    count = labelled.count()
+    if not count:
+        return None
+    scale = 1 << 30
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, 0.95 * sample / count)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [bag(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary()), batch.column(2)], names=["doc_id", "bag", "s"])
+
+    rows = drawn.mapInArrow(run, "doc_id bigint, bag binary, s string").orderBy("doc_id", "s").limit(sample).collect()
+    bags = np.stack([np.frombuffer(r["bag"], np.float16) for r in rows]).astype(np.float32) if rows else None
+    return SourceClassifier.train(bags, [r["s"] for r in rows]) if rows else None
 
 
 def memberships(documents: DataFrame, targets: DataFrame, pattern: str = TOKEN_PATTERN, sample: int = SAMPLE) -> tuple[DataFrame, list[tuple[str, float, int]]]:

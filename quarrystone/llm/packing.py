@@ -93,5 +93,5 @@ def pack(items: DataFrame, capacity: int, open_bins: int = OPEN_BINS, per_group:
 def pack_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: items, containers, tokens, the least possible number of containers and the unused share."""
     totals = packed.agg(F.countDistinct("doc_id").alias("items"), F.countDistinct("container_id").alias("containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
-    unused = 1 - F.col("tokens") / (F.col("containers") * capacity)
+    unused = 1 - F.try_divide(F.col("tokens"), F.col("containers") * capacity)
     return totals.withColumn("least_containers", F.ceil(F.col("tokens") / capacity)).withColumn("unused_share", F.round(F.coalesce(unused, F.lit(0.0)), 4))

@@ -20,6 +20,7 @@ _FUNCTION = {
 FUNCTION_WORDS = frozenset(w for words in _FUNCTION.values() for w in words.split())
 BLOCK_WORDS = 14  # short lines and sentences are joined until a block has as many words
 URL_WORDS = 4  # words that an address counts for
+FEW_PAGES, DEFAULT_LOW = 20, 0.2
 MIN_WORDS = 12  # pages with fewer stuffed words are short notes
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -138,11 +139,11 @@ def calibrated(pages: DataFrame) -> DataFrame:
     Sentences of a language hold about the same share of function words; below half of the median is
     too few. A share of one word or of one pair of words is high above twice the upper quartile. A
     language whose median is itself near 0 has no list here: its limit is below 0 and only links,
-    tags and repetition decide.
+    tags and repetition decide. Fewer than ``FEW_PAGES`` pages set no limit of their own.
     """
     quantile = lambda c, q: F.percentile_approx(c, q, 1000)
-    stats = pages.groupBy("lang").agg(quantile("function", 0.5).alias("f"), quantile("top_word", 0.75).alias("w"), quantile("top_bigram", 0.75).alias("b"))
-    low = F.when(F.col("f") < 0.1, -1.0).otherwise(F.greatest(F.col("f") * 0.5, F.lit(0.12)))
+    stats = pages.groupBy("lang").agg(quantile("function", 0.5).alias("f"), quantile("top_word", 0.75).alias("w"), quantile("top_bigram", 0.75).alias("b"), F.count("*").alias("n"))
+    low = F.when(F.col("n") < FEW_PAGES, DEFAULT_LOW).when(F.col("f") < 0.1, -1.0).otherwise(F.greatest(F.col("f") * 0.5, F.lit(0.12)))
     return stats.select("lang", low.alias("low_function"), F.least(2 * F.col("w"), F.lit(0.3)).alias("high_word"), F.least(2 * F.col("b"), F.lit(0.3)).alias("high_bigram"))
 
 
@@ -151,7 +152,7 @@ def _stuffed(block: Column, low: Column, whole: Column) -> Column:
     linked = (block["linked"] >= 0.5) | ((block["linked"] >= 0.3) & (block["separators"] > 0.1))
     listed = (block["repeated"] >= 0.6) | ((block["repeated"] >= 0.35) & (whole | (block["separators"] >= 0.25)))
     few = F.when(low < 0, F.lit(True)).otherwise(block["function"] < low)
-    return few & ((block["tagged"] >= 0.4) | linked | (listed & (block["code"] < 0.02)))
+    return (block["linked"] >= 0.8) | few & ((block["tagged"] >= 0.4) | linked | (listed & (block["code"] < 0.02)))
 
 
 def stuffed_share(pages: DataFrame) -> DataFrame:
