@@ -54,13 +54,13 @@ def contains_like(text: Column, pattern: str) -> Column:
 
 
 def cap_bytes(text: Column, limit: int, marker: str = "\n…") -> Column:
-    """At most ``limit`` UTF-8 bytes of a text, cut back to a character, with ``marker`` where cut."""
+    """At most ``limit`` UTF-8 bytes of a text, cut back to a character, with ``marker`` where cut. Null stays null."""
     raw = text.cast("binary")
     cut = F.lit("")
     for back in (3, 2, 1, 0):
         piece = F.substring(raw, 1, limit - back) if limit > back else F.lit(b"")
         cut = F.when(F.is_valid_utf8(piece.cast("string")), piece.cast("string")).otherwise(cut)
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(cut, F.lit(marker)))
+    return F.when(F.octet_length(text) > limit, F.concat(cut, F.lit(marker))).otherwise(text)
 
 
 def glob_words(pattern: Column) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -17,12 +18,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when((F.size(a) == F.size(b)) & (size > 0), dot / size), zero)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode_vector(blob: pd.Series) -> pd.Series:
     """Little-endian float32 bytes as an array; a trailing partial group is dropped, null stays null."""
     return blob.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4").tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encode_vector(vector: pd.Series) -> pd.Series:
     return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

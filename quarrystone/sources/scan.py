@@ -39,14 +39,15 @@ def indexable_path(path: Column) -> Column:
     return F.coalesce(~drop, F.lit(False))
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, hidden: tuple[str, ...] = ()) -> DataFrame:
     """All indexable files under ``root``: path, length, content, readable.
 
-    Hidden files are read, links are not followed into other trees. The size filter and the column
-    list reach the source. Files with a NUL byte at the start are binary and left out; ``readable``
+    Spark's file listing leaves out names that begin with . or _; such files and folders are read
+    where ``hidden`` names them (paths or globs under ``root``, such as ``.github``). The size filter
+    and the column list reach the source. Files with a NUL byte at the start are binary and left out; ``readable``
     is false where the bytes are no UTF-8 (such a file is reported and not indexed).
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([root, *(f"{root.rstrip('/')}/{h}" for h in hidden)])
     prefix = root.rstrip("/") + "/"
     rel = F.expr(f"substring(path, locate('{prefix}', path) + {len(prefix)})")
     head = F.substring("content", 1, SNIFFED_BYTES)

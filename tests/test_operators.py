@@ -238,7 +238,7 @@ def test_scan(spark, tmp_path):
     for name, content in {"a.py": b"x", ".hidden/b.rs": b"y", "node_modules/c.js": b"z", "d.min.js": b"q", "e.png": b"p", "yarn.lock": b"", "bin.txt": b"a\0b", "bad.txt": b"\xff\xfe", "big.txt": b"a" * 100_001, "edge.txt": b"a" * 100_000}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
-    got = {r["path"]: r["readable"] for r in scan_tree(spark, str(tmp_path)).collect()}
+    got = {r["path"]: r["readable"] for r in scan_tree(spark, str(tmp_path), (".hidden",)).collect()}
     assert got == {"a.py": True, ".hidden/b.rs": True, "bad.txt": False, "edge.txt": True}
     paths = spark.createDataFrame([("x/env",), ("ok.PNG",), (None,)], "p string")
     assert [r[0] for r in paths.select(indexable_path(F.col("p"))).collect()] == [False, True, False]
