@@ -95,10 +95,13 @@ def features(text: str) -> dict:
         for i, p in enumerate(zip(ws, ws[1:], strict=False)):
             if p in phrases:
                 covered[i] = covered[i + 1] = True
+        functional = sum(w in FUNCTION_WORDS for w in ws)
+        if functional - inner <= 0.12 * len(ws):  # else these are sentences that say the same again
+            functional -= inner
         chars = max(1, sum(len(segments[k][0]) for k in group))
         seps = sum(len(_SEPARATOR.findall(segments[k][0])) for k in group)
         blocks.append({
-            "words": n, "function": (sum(w in FUNCTION_WORDS for w in ws) - inner) / max(1, len(ws)), "repeated": sum(covered) / max(1, len(ws)),
+            "words": n, "function": functional / max(1, len(ws)), "repeated": sum(covered) / max(1, len(ws)),
             "linked": min(1.0, n_links / max(1, n)), "tagged": n_tags / max(1, len(ws)), "code": sum(segments[k][3] for k in group) / chars,
             "separators": seps / max(1, len(ws)),
         })
