@@ -123,8 +123,11 @@ def features(text: str) -> dict:
 
 
 def page_features(documents: DataFrame) -> DataFrame:
-    """Features of documents (doc_id, text, lang); null ids and null or blank texts have none."""
-    lang = F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]+)", 1), F.lit("")), F.lit("und"))
+    """Features of documents (doc_id, text, lang); null ids and null or blank texts have none.
+
+    ``lang`` becomes the two or three letters it begins with (en-US is en), else ``und``.
+    """
+    lang = F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2,3})(?![a-z])", 1), F.lit("")), F.lit("und"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.struct([("words", pa.int32()), *[(n, pa.float64()) for n in ("function", "repeated", "linked", "tagged", "code", "separators")]])
@@ -159,8 +162,12 @@ def _stuffed(block: Column, low: Column, whole: Column) -> Column:
 
 
 def stuffed_share(pages: DataFrame) -> DataFrame:
-    """``pages`` with the number and share of words in stuffed blocks."""
-    joined = pages.join(calibrated(pages), "lang")
+    """``pages`` with the number and share of words in stuffed blocks.
+
+    The limits are broadcast, as most pages may be of one language: a code is two or three letters, so
+    there are at most 26^2 + 26^3 + 1 rows of four numbers, under 1 MB.
+    """
+    joined = pages.join(F.broadcast(calibrated(pages)), "lang")
     whole = (F.col("top_word") > F.col("high_word")) | (F.col("top_bigram") > F.col("high_bigram")) | (F.col("same_lines") > 0.3)
     bad = F.filter("blocks", lambda b: _stuffed(b, F.col("low_function"), whole))
     count = F.aggregate(bad, F.lit(0), lambda s, b: s + b["words"])
