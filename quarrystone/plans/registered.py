@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..extract.extractors import extract_deps, extract_symbols
 from ..functions.text import cap_bytes, contains_like, first_segment, glob_words, parsed_language
 from ..functions.vectors import cosine, decode_vector, encode_vector
-from ..operators import graph, indexing, references, reports, search
+from ..operators import graph, indexing, references, reports, search, store
 from ..sources.scan import has_part, indexable_path, porcelain_status
 from ..sources.tables import current_files, live_symbols, read
+from ..streaming.changes import change_rates
 from ..streaming.debounce import debounce
 
 QUERIES: dict = {}
@@ -384,3 +386,44 @@ def p3_current_orphans(s: SparkSession, d: str) -> DataFrame:
 def like_matches(s: SparkSession, d: str) -> DataFrame:
     found = read(s, d, "deps").where(contains_like(F.col("target_symbol"), "TRACE_s%n"))
     return found.groupBy(first_segment(F.col("source_path")).alias("repo")).agg(F.count("*").alias("n"))
+
+
+# -- key/value rows, kept results, shown text -----------------------------------------------------
+
+
+@query
+def meta_after_put(s: SparkSession, d: str) -> DataFrame:
+    meta = read(s, d, "meta")
+    counts = read(s, d, "files").groupBy(F.concat(F.lit("files."), first_segment(F.col("path"))).alias("key")).agg(F.count("*").cast("string").alias("value"))
+    again = meta.where("key = 'schema_version'").select("key", F.lit("4").alias("value"))
+    return store.put(meta, counts.unionByName(again))
+
+
+@query
+def cached_results(s: SparkSession, d: str) -> DataFrame:
+    """Results of the text search, kept in the key/value table and read back before they expire."""
+    found = search.bm25(_chunks(s, d), SEARCH_TEXT)
+    hits = found.orderBy("rank", "id").limit(10).select(F.row_number().over(W.orderBy("rank", "id")).alias("rank"), "id", F.round(-F.col("rank"), 3).alias("score"))
+    key = store.cache_key(SEARCH_TEXT, 10, False)
+    meta = store.put(read(s, d, "meta"), store.cache_row(hits, key, 1000))
+    return store.cached_hits(meta, read(s, d, "chunks"), key, 1299).select("rank", "id", "path", F.round(F.col("score").cast("double"), 2).alias("score"))
+
+
+@query
+def hit_lines(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "chunks").where("kind != 'file'").select("id", store.hit_line().alias("line")).distinct()
+
+
+@query
+def tool_queries(s: SparkSession, d: str) -> DataFrame:
+    """Search texts of tool calls that come as JSON."""
+    tool = F.when(F.col("kind") == "class", "Grep").when(F.col("kind") == "method", "Glob").otherwise("Read")
+    call = F.to_json(F.struct(tool.alias("toolName"), F.struct(F.concat(F.lit("**/"), "path").alias("pattern")).alias("toolInput")))
+    parsed = live_symbols(s, d).select("id", F.from_json(call, "toolName string, toolInput struct<pattern:string>").alias("c"))
+    return parsed.select("id", store.tool_query(F.col("c.toolName"), F.col("c.toolInput.pattern")).alias("search"))
+
+
+@query
+def change_rates_daily(s: SparkSession, d: str) -> DataFrame:
+    rates = change_rates(read(s, d, "file_changes").where("path is not null"))
+    return rates.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "repo", "status", "n")

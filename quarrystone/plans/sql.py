@@ -148,4 +148,9 @@ SQL: dict[str, str] = {
  x as (select 'files' as ref_table, path as ref_key from fs group by 1, 2 having arg_max(status, changed_at) <> 'deleted' union select 'symbols', 'p|' || path || '|' || name from symbols where gone_at is null
   union select 'symbols', 'r|' || split_part(path, '/', 1) || '|' || name from symbols where gone_at is null) select r.* from r anti join x using (ref_table, ref_key)""",
     "like_matches": "select split_part(source_path, '/', 1) as repo, count(*) as n from deps where regexp_matches(target_symbol, '(?i)trace.s.*n') group by 1",
+    "meta_after_put": "select key, value from meta where key <> 'schema_version' union all select 'schema_version', '4' union all select 'files.' || split_part(path, '/', 1), count(*)::varchar from files group by 1",
+    "cached_results": f"""with h as (select id, path, rank as r from {_SEARCH} order by rank, id limit 10) select (row_number() over (order by r, id) - 1)::int as rank, id, path, round(round(-r, 3)::float::double, 2) as score from h""",
+    "hit_lines": "select distinct id, rtrim(path || ':' || line_start || '-' || line_end || ' ' || coalesce(symbol, '')) as line from chunks where kind <> 'file'",
+    "tool_queries": f"""select id, case kind when 'class' then '**/' || path when 'method' then nullif(trim(regexp_replace(replace('**/' || path, '**', ' '), '[*/.]', ' ', 'g')), '') end as search from {_LIVE}""",
+    "change_rates_daily": "select strftime(changed_at::timestamp, '%Y-%m-%d') as day, split_part(path, '/', 1) as repo, status, count(*) as n from file_changes where path is not null and changed_at is not null group by 1, 2, 3",
 }
