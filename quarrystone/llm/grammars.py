@@ -299,11 +299,9 @@ _RANKING = {k: frozenset(v.split()) for k, v in RANKING.items()}
 
 
 def _python(text: str) -> bool:
-    lines = text.split("\n")
-    first = next((x for x in lines if x.strip() and not x.strip().startswith("#")), "")
-    if first[:1] in " \t":  # a method stands inside its class
-        width = len(first) - len(first.lstrip())
-        text = "class _:\n" + "".join(f"{' ' * k}if 1:\n" for k in range(1, width)) * 0 + "\n".join(lines)
+    first = next((x for x in text.split("\n") if x.strip() and not x.strip().startswith("#")), "")
+    if first[:1] in (" ", "\t"):  # a method stands inside its class
+        text = "class _:\n" + text
     try:
         ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
