@@ -37,3 +37,13 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` (a scan without shuffles) on at least as many partitions as the cluster has cores.
+
+    For work in Python on few or unsplittable files; where the scan has enough partitions, which large
+    tables always have, nothing moves. The rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
