@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, spread
+
 # Function words of the corpus's languages.
 _FUNCTION = {
     "en": "the a an and or of to in is are was were be been it its that this these those for from with by on at as if then so not no but when while which who what where how why you your we our they their he she i my me us there has have had do does did can could will would should may than before after until because both each every some any most more less one here into out up over because only even",
@@ -34,6 +36,7 @@ _TAG = re.compile(r"(?<!\S)#[^\W\d]\w*")
 _CODE = re.compile(r"[(){}=_\[\]]")
 _SEPARATOR = re.compile(r"[|;,/*•·~>-]")
 _SEGMENT = re.compile(r"(?:<br\s*/?>|\n)+|(?<=[.!?])\s+")
+_MARKED = re.compile(r"\x01\d+\x02")
 _BREAK = re.compile(r"<br\s*/?>", re.I)
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_] ){4,}[^\W\d_](?!\w)")
 _LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d|\d\d:\d\d)|\b(?:WARN|INFO|ERROR|DEBUG|Traceback)\b")
@@ -54,29 +57,33 @@ def _segments(text: str) -> list[tuple[str, int, int, int, int]]:
         return key
 
     hidden = _LINK.sub(hide, text)
+    tags = "#" in hidden
     for part in _SEGMENT.split(hidden):
         if part.strip():
-            marks = re.findall(r"\x01\d+\x02", part)
+            marks = _MARKED.findall(part) if "\x01" in part else ()
             linked = sum(links[m][0] for m in marks)
-            plain = re.sub(r"\x01\d+\x02", lambda m: links[m.group()][1], part)
-            bare = re.sub(r"\x01\d+\x02", " ", part)
+            plain = _MARKED.sub(lambda m: links[m.group()][1], part) if marks else part
+            bare = _MARKED.sub(" ", part) if marks else part
             code = 0 if marks and not _WORD.search(bare) else len(_CODE.findall(bare)) + (8 if _LOG.search(bare) else 0)
-            out.append((plain, linked, len(_TAG.findall(part)), code, len(marks)))
+            out.append((plain, linked, len(_TAG.findall(part)) if tags else 0, code, len(marks)))
     return out
 
 
 def features(text: str) -> dict:
     """Shares that tell stuffed text from sentences, of the whole text and of its blocks."""
     segments = _segments(text)
-    words = [[w.lower() for w in _WORD.findall(s[0])] for s in segments]
+    words = [_WORD.findall(s[0].lower()) for s in segments]
     flat = [w for ws in words for w in ws]
     total = max(1, len(flat))
-    content = Counter(w for w in flat if w not in FUNCTION_WORDS)
-    pairs = Counter(p for ws in words for p in zip(ws, ws[1:], strict=False) if p[0] not in FUNCTION_WORDS and p[1] not in FUNCTION_WORDS)
+    counts = Counter(flat)
+    content = {w: n for w, n in counts.items() if w not in FUNCTION_WORDS}
+    functional_all = total - sum(content.values()) if flat else 0
+    pairs = Counter(p for ws in words for p in zip(ws, ws[1:], strict=False))
+    pairs = {p: n for p, n in pairs.items() if p[0] in content and p[1] in content}
     often = {w for w, n in content.items() if n >= 4 and n / total >= 0.02}
     phrases = {p for p, n in pairs.items() if n >= 3}
-    bridged = Counter(t for ws in words for t in zip(ws, ws[1:], ws[2:], strict=False) if t[1] in FUNCTION_WORDS and t[0] not in FUNCTION_WORDS and t[2] not in FUNCTION_WORDS)
-    bridges = {t for t, n in bridged.items() if n >= 3 and 3 * n / total >= 0.03}
+    bridged = Counter(t for ws in words for t in zip(ws, ws[1:], ws[2:], strict=False))
+    bridges = {t for t, n in bridged.items() if n >= 3 and 3 * n / total >= 0.03 and t[1] not in content and t[0] in content and t[2] in content}
     addresses = [URL_WORDS * s[4] for s in segments]
     lines = [ln.strip() for ln in _BREAK.sub("\n", text).split("\n") if ln.strip()]
     blocks, group = [], []
@@ -88,14 +95,14 @@ def features(text: str) -> dict:
         n_links, n_tags = sum(segments[k][1] for k in group), sum(segments[k][2] for k in group)
         n = len(ws) + sum(addresses[k] for k in group)
         covered, inner = [w in often for w in ws], 0
-        for i, t in enumerate(zip(ws, ws[1:], ws[2:], strict=False)):
+        for i, t in enumerate(zip(ws, ws[1:], ws[2:], strict=False) if bridges else ()):
             if t in bridges:  # the function word of a repeated keyword belongs to it
                 covered[i] = covered[i + 1] = covered[i + 2] = True
                 inner += 1
-        for i, p in enumerate(zip(ws, ws[1:], strict=False)):
+        for i, p in enumerate(zip(ws, ws[1:], strict=False) if phrases else ()):
             if p in phrases:
                 covered[i] = covered[i + 1] = True
-        functional = sum(w in FUNCTION_WORDS for w in ws)
+        functional = sum(w not in content for w in ws)
         if functional - inner <= 0.12 * len(ws):  # else these are sentences that say the same again
             functional -= inner
         chars = max(1, sum(len(segments[k][0]) for k in group))
@@ -116,7 +123,7 @@ def features(text: str) -> dict:
             held = 0
     close()
     return {
-        "words": sum(b["words"] for b in blocks), "function": sum(w in FUNCTION_WORDS for w in flat) / total,
+        "words": sum(b["words"] for b in blocks), "function": functional_all / total,
         "top_word": max(content.values(), default=0) / total, "top_bigram": 2 * max(pairs.values(), default=0) / total,
         "same_lines": 1 - len(set(lines)) / max(1, len(lines)), "blocks": blocks,
     }
@@ -136,7 +143,8 @@ def page_features(documents: DataFrame) -> DataFrame:
             rows = [{"doc_id": i, "lang": g} | features(t) for i, g, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return documents.where("doc_id is not null and text is not null and trim(text) != ''").select("doc_id", lang.alias("lang"), "text").mapInArrow(run, _SCHEMA)
+    texts = documents.where("doc_id is not null and text is not null and trim(text) != ''").select("doc_id", lang.alias("lang"), "text")
+    return spread(texts).mapInArrow(run, _SCHEMA)
 
 
 def calibrated(pages: DataFrame) -> DataFrame:
@@ -183,7 +191,5 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
     Pages with fewer than ``MIN_WORDS`` stuffed words are short notes. Copies are judged alike. An
     empty table gives no rows.
     """
-    from ..session import checkpointed
-
     judged = stuffed_share(checkpointed(page_features(documents)))
     return judged.where((F.col("stuffed_share") > 0.5) & (F.col("stuffed_words") >= MIN_WORDS)).select("doc_id", "lang", "words", "stuffed_words", "stuffed_share")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_segment, parsed_language
+from ..session import spread
 from .grammars import verdict
 
 _SCHEMA = "path string, language string, chunk_id bigint, kind string, verdict string"
@@ -30,7 +31,7 @@ def judged_chunks(chunks: DataFrame) -> DataFrame:
 
     language = parsed_language(F.col("path")).alias("language")
     known = chunks.where("path is not null and source is not null").select("path", language, F.col("id").alias("chunk_id"), "kind", "source").where("language is not null")
-    return known.mapInArrow(run, _SCHEMA)
+    return spread(known).mapInArrow(run, _SCHEMA)
 
 
 def file_verdicts(chunks: DataFrame, files: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TOKEN_PATTERN = r"\w+|[^\w\s]+"
 
 
@@ -33,4 +35,4 @@ def token_counts(documents: DataFrame, keep: list[str], pattern: str = TOKEN_PAT
 
     chosen = documents.select(F.col("text").alias("_text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(run, f"{schema}, n_tokens bigint")
+    return spread(chosen).mapInArrow(run, f"{schema}, n_tokens bigint")
