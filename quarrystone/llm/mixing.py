@@ -165,6 +165,8 @@ def fit_rates(members: DataFrame, listed: list[tuple[str, float, int]], fraction
     """
     shares, caps = np.array([t[1] for t in listed]), np.array([t[2] for t in listed], float)
     n = len(listed)
+    if not n:
+        return np.zeros((0, 0)), float(fraction), shares
     grouped = checkpointed(members.where(F.exists("p", lambda x: x > 0)).groupBy("p").agg(F.sum("n_tokens").alias("tokens")))
 
     def totals(history: np.ndarray, start: float) -> np.ndarray:
@@ -204,6 +206,7 @@ def mixture(documents: DataFrame, targets: DataFrame, fraction: float, pattern:
     whole (source null): target_share, share, tokens, documents, available_tokens. Documents of
     sources that are known and not listed are not used. Empty documents have no tokens and are not
     chosen. Sources without documents come out with share 0 and the others share their budget.
+    Without targets nothing is chosen.
     """
     members, listed = memberships(documents, targets, pattern, sample)
     members = checkpointed(members)

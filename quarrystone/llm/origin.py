@@ -104,9 +104,9 @@ def grammar_features(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         for batch in batches:
-            paths, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(paths), 256):  # bounds the arrays of one grammar run
-                yield _batch(paths[k : k + 256], groups[k : k + 256], names)
+            for k in range(0, batch.num_rows, 256):  # bounds the texts and arrays of one grammar run
+                part = batch.slice(k, 256)
+                yield _batch(part.column(0).to_pylist(), part.column(1).to_pylist(), names)
             if len(names) > 1_000_000:
                 names.clear()
 
