@@ -153,7 +153,7 @@ def fused(chunks: DataFrame, vectors: DataFrame | None, text: str, query_vector:
     signals = [_normalised(pool).withColumn("score", F.col("score") * WEIGHTS["text"])]
     if query_vector is not None and vectors is not None:
         q = F.array(*[F.lit(float(x)) for x in query_vector])
-        scored = vectors.join(chunks.select(F.col("id").alias("chunk_id")).distinct(), "chunk_id", "left_semi").select(F.col("chunk_id").alias("id"), cosine(F.col("embedding"), q).alias("score"))
+        scored = vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("id"), cosine(F.col("embedding"), q).alias("score"))
         signals.append(_normalised(scored).withColumn("score", F.col("score") * WEIGHTS["vector"]))
     if tokens := query_tokens(text):
         exact = chunks.where(F.col("symbol").isin(tokens)).select("id").distinct()
@@ -161,5 +161,5 @@ def fused(chunks: DataFrame, vectors: DataFrame | None, text: str, query_vector:
     top = reduce(DataFrame.unionByName, signals).groupBy("id").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
     columns = ["id", "path", "symbol", "kind", "line_start", "line_end", "header"]
     source = [cap_bytes(F.col("source"), max_bytes).alias("source"), (F.octet_length("source") > max_bytes).alias("truncated")] if include_source else [F.lit(False).alias("truncated")]
-    fetched = chunks.dropDuplicates(["id"]).join(F.broadcast(top), "id")
+    fetched = chunks.join(F.broadcast(top), "id").dropDuplicates(["id"])  # k rows; re-deliveries go after the join
     return fetched.select(*columns, *source, "score").orderBy(F.desc("score"), "id")

@@ -38,8 +38,9 @@ def cached_entries(meta: DataFrame, now: int | Column) -> DataFrame:
 def cached_hits(meta: DataFrame, chunks: DataFrame, key: str, now: int) -> DataFrame:
     """(rank, id, score, path, symbol) of a fresh kept result, in its order; chunks that are gone drop out."""
     found = cached_entries(meta.where(F.col("key") == key), now).where("fresh").select(F.posexplode("hits").alias("rank", "h"))
-    known = chunks.select("id", "path", "symbol").dropDuplicates(["id"])
-    return found.select("rank", F.col("h.id").alias("id"), F.col("h.score").alias("score")).join(known, "id").select("rank", "id", "score", "path", "symbol").orderBy("rank")
+    hits = found.select("rank", F.col("h.id").alias("id"), F.col("h.score").alias("score"))
+    known = hits.join(chunks.select("id", "path", "symbol"), "id").dropDuplicates(["rank"])
+    return known.select("rank", "id", "score", "path", "symbol").orderBy("rank")
 
 
 def cache_row(hits: DataFrame, key: str, now: int) -> DataFrame:
