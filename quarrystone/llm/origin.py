@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PARSED_LANGUAGES, first_segment
+from ..functions.text import first_segment
 from ..session import checkpointed
 from .repair import grammars, mix
 
@@ -19,6 +19,11 @@ _SCHEMA = (
     "path string, tokens int, chars int, long_lines double, spaces double, literal double, fresh double, reused double, counted double, stretch int, marked boolean, sizes array<int>, phrases array<bigint>"
 )
 PHRASE = 8  # mean number of tokens of a phrase
+#: Extensions of configuration, documentation and plain records, which are never cases. Any other last part of a name counts.
+NOT_CODE = (
+    "md markdown mdx rst adoc asciidoc txt text tex pod org rtf pdf man log json jsonc json5 jsonl ndjson yaml yml toml ini cfg conf config cnf env properties "
+    "xml plist editorconfig gitignore gitattributes gitmodules dockerignore lock sum csv tsv"
+).split()
 
 
 def file_texts(chunks: DataFrame) -> DataFrame:
@@ -181,14 +186,13 @@ def shared_phrases(features: DataFrame) -> DataFrame:
 def origins(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """(path, origin) of the files that were not written by hand: generated, minified, vendored or data.
 
-    Only paths of ``files`` whose extension (in any case) is that of a programming language, or that
-    have none, count: configuration and documentation never do. Re-delivered rows count once; files
-    without text are by hand.
+    All paths of ``files`` count but those whose extension (in any case) is in ``NOT_CODE``: an unknown
+    last part, as of a bundle that lost its ``.js``, counts as no extension. Re-delivered rows count
+    once; files without text are by hand.
     """
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise("")
-    code = extension.isin("", "jsx", "css", "kt", "rb", "php", "swift", "cs", "scala", *PARSED_LANGUAGES)
-    features = checkpointed(grammar_features(file_texts(chunks.where(code))))
+    features = checkpointed(grammar_features(file_texts(chunks.where(~extension.isin(*NOT_CODE)))))
     judged = features.drop("phrases", "sizes").join(shared_phrases(features), "path", "left")
     shared, long = F.coalesce("shared", F.lit(0.0)), F.coalesce("long", F.lit(0))
     generated = (F.col("counted") >= 0.5) & (F.col("stretch") >= 30) | (F.col("stretch") >= 60) | F.col("marked") & ((F.col("counted") >= 0.1) | (F.col("reused") >= 0.2))

@@ -66,3 +66,9 @@ def test_copy_inside_one_repo_is_not_vendored(spark):
 def test_text_from_parts():
     parts = [{"kind": "method", "line_start": 2, "id": 2, "source": " m()"}, {"kind": "class", "line_start": 1, "id": 1, "source": "class A {\n m()\n}"}, {"kind": "function", "line_start": 9, "id": 3, "source": "f()"}]
     assert origin.whole_text(parts) == "class A {\n m()\n}\nf()"
+
+
+def test_only_configuration_and_documentation_are_left_out(spark, rows):
+    texts = {"a/x/bundle.min": MINIFIED, "a/x/gen.sql": GENERATED, "a/x/gen.KTS": GENERATED, "a/x/c.TOML": TABLE, "a/x/.env": TABLE, "a/x/notes.rst": GENERATED}
+    df = spark.createDataFrame([(k, p, "file", 1, t) for k, (p, t) in enumerate(texts.items())], "id long, path string, kind string, line_start int, source string")
+    assert rows(origin.origins(df, df.select("path"))) == [("a/x/bundle.min", "minified"), ("a/x/gen.KTS", "generated"), ("a/x/gen.sql", "generated")]
