@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 # Parts of names that stand for a credential, in the languages of the corpus.
@@ -35,14 +36,10 @@ TOKEN = re.compile(
     r"|(?=[\w.-]*[A-Z])(?=[\w.-]*\d)[a-z][a-z0-9]{1,7}(?:[_-][a-z]{2,6})?[._-][A-Za-z0-9]{18,60}"
     r")(?![\w/+-])"
 )
-_RUN = re.compile(r"[^\s\"'`(),;<>]{8,}")
-_HOT = re.compile(r"\d|[!*+^%$~&#@?=][A-Za-z]|[A-Za-z][!*+^%$~&#?]")
-# names with a counter, member chains, assignments of plain words or numbers, and operators glued to names
-_COLD = re.compile(r"^[-+&*]?[A-Za-z_$\[\]{}:|]*\d{0,3}[:{}\[\]]*$|^[-+&*]?[a-z_$\[\]{}|]?[A-Za-z_$]{0,24}\d?(?:[.:\]\[]+[A-Za-z_$]{0,18})+[:{}\[\]]*$|^[A-Za-z_.]+\d{0,2}[=:]+\w{0,8}$|^[\d.,\]\[xXa-fA-F:{}=-]{1,16}$|^https?://[^@]*$|^&\[u8\]$|^[+-]?\d+:?$")
 _LITERAL = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _STRING = re.compile(_LITERAL)
 _JOINED = re.compile(rf"(?:{_LITERAL})(?:\s*(?:\+|\.|\\\n)?\s*(?:{_LITERAL}))*")
-_ASSIGN = re.compile(r"(?P<name>[A-Za-z_][\w.-]*)[\"']?\s*(?::\s*[&\w<>' ]{1,24}?\s*)?(?::=|=>|=|:)\s*(?P<call>[\w.]{0,40}\(\s*)?")
+_ASSIGN = re.compile(r"(?<![\w.-])(?:(?![A-Za-z_])[\w.-])*+(?P<name>[A-Za-z_][\w.-]*+)[\"']?\s*(?::\s*[&\w<>' ]{1,24}?\s*)?(?::=|=>|=|:)\s*(?P<call>[\w.]{0,40}\(\s*)?")
 _BARE = re.compile(r"[^\s\"'`,;(){}<>|&][^\s\"'`,;(){}<>]*")
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"'`]*:(?P<v>[^\s@\"'`/]{3,})@")
 _FLAG = re.compile(r"(?:--?(?:password|passwd|pass|pwd|token|secret|api-?key|auth|key)(?:\s+|=)|(?<=\s)-u\s+[\w.-]+:|(?<=\s)-p\s*)(?P<v>[^\s\"'`;|]{6,})")
@@ -53,6 +50,17 @@ _COMMENT = re.compile(r"^\s*(?:\d+:\s*)?(?://|#|--|\*|/\*|;)|^[A-Z][\w ]+ [`\w]"
 _COMMENT_CUE = re.compile(r"(?i)\b(?:key|pw|pwd|pass|password|passwd|tok|token|secret|login|log in|creds?|staging|auth|rotate)\b")
 _COMMENT_PUBLIC = re.compile(r"(?i)\b(?:commit|built from|digest|checksum|sha\d*|etag|revision|hash|version|toolkit)\b")
 _WORD = re.compile(r"[A-Za-z]+|\d+")
+# What a line must hold for a rule to find something on it: a name before = or :, or one of these.
+_NAME = re.compile(r"(?<![\w.-])(?:(?![A-Za-z_])[\w.-])*+([A-Za-z_][\w.-]*+)[\"']?[^\S\n]*+[:=]")
+_PLACES = tuple(
+    re.compile(p)
+    for p in (
+        r"://[^\s:/@\"'`]*:[^\s@\"'`/]{3,}@", r"--?(?:password|passwd|pass|pwd|token|secret|api-?key|auth|key)[\s=]|-u\s|-p", r"(?:Bearer|Basic|Token|ApiKey)\s",
+        r"[\"'`]\s*(?:\+|\.|\\\n)?\s*[\"'`]", r"(?<![0-9a-fA-F])[0-9a-fA-F]{32}", TOKEN.pattern, _COMMENT_CUE.pattern,
+    )
+)
+# an unquoted member chain, as in code
+_MEMBER = re.compile(r"[A-Za-z_$]+\d?(?:[.:\[\]]+[A-Za-z_$]+)+[:\[\]]*")
 
 
 class Hit(NamedTuple):
@@ -113,17 +121,20 @@ def _basic(value: str) -> bool:
         return False
 
 
+@lru_cache(100_000)
+def _role(name: str) -> tuple[bool, bool]:
+    """Whether a name stands for a credential, and whether for something public."""
+    words = set(parts(name))
+    public = bool(words & PUBLIC) and not words & {"license", "password", "passwd"}
+    return bool(words & CUES) and not public, public
+
+
 def hot_lines(text: str) -> list[int]:
-    """Start offsets of lines with a run of characters that may be (a part of) a value."""
-    out, last = [], -1
-    for m in _RUN.finditer(text):
-        run = m.group()
-        if _HOT.search(run) and not _COLD.match(run):
-            start = text.rfind("\n", 0, m.start()) + 1
-            if start != last:
-                out.append(start)
-                last = start
-    return out
+    """Start offsets of the lines on which a rule of ``_line_hits`` can find something: no other line has a hit."""
+    at = {m.start(1) for m in _NAME.finditer(text) if _role(m[1])[0]}
+    for pattern in _PLACES:
+        at.update(m.start() for m in pattern.finditer(text))
+    return sorted({text.rfind("\n", 0, k) + 1 for k in at})
 
 
 def _literals(text: str, at: int, stop: int) -> tuple[tuple, str] | None:
@@ -145,19 +156,17 @@ def _line_hits(text: str, start: int, end: int) -> list[Hit]:
 
     public_line = False
     for m in _ASSIGN.finditer(line):
-        words = set(parts(m["name"]))
-        public = bool(words & PUBLIC) and not words & {"license", "password", "passwd"}
+        named, public = _role(m["name"])
         public_line |= public and bool(re.search(r"[\"'=:]", line))
         at = start + m.end()
         found = _literals(text, at, min(len(text), end + 400) if text[at : at + 1] in "\"'`" and text[end - 1 : end] in '+\\"' else end)
         if found:
             spans, value = found
-            named = bool(words & CUES) and not public
             if not public and (is_value(value, named) or (named or m["call"]) and not is_placeholder(value) and re.fullmatch(r"[0-9a-fA-F]{32,128}", value)):
                 add(spans, value, "named" if named else "form")
-        elif words & CUES and not public and not m["call"] and not re.search(r"[({;]", line[m.end() :]):
+        elif named and not m["call"] and not re.search(r"[({;]", line[m.end() :]):
             b = _BARE.match(text, at, end)
-            if b and b.end() >= start + len(line.rstrip()) and is_value(b.group(), True):
+            if b and b.end() >= start + len(line.rstrip()) and is_value(b.group(), True) and not (text[at - 1].isspace() and _MEMBER.fullmatch(b.group())):
                 add((b.span(),), b.group(), "named")
     for pattern, kind in ((_URL, "url"), (_FLAG, "flag"), (_HEADER, "header")):
         for m in pattern.finditer(line):
@@ -200,7 +209,7 @@ def credentials(text: str | None) -> list[Hit]:
             hits += _line_hits(text, start, end)
         else:  # a minified line: only values whose form says it
             hits += [Hit(m.start(), (m.span(),), m.group(), "form") for m in TOKEN.finditer(text, start, end) if not is_placeholder(m.group())]
-    if lines and "(" in text:
+    if "(" in text:
         for m in _CALL.finditer(text):
             strings = [s for s in _STRING.finditer(text, m.start("args"), m.end("args"))]
             if len(strings) > 1 and is_value(strings[-1].group()[1:-1], True):
