@@ -44,12 +44,13 @@ _BARE = re.compile(r"[^\s\"'`,;(){}<>|&][^\s\"'`,;(){}<>]*")
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"'`]*:(?P<v>[^\s@\"'`/]{3,})@")
 _FLAG = re.compile(r"(?:--?(?:password|passwd|pass|pwd|token|secret|api-?key|auth|key)(?:\s+|=)|(?<=\s)-u\s+[\w.-]+:|(?<=\s)-p\s*)(?P<v>[^\s\"'`;|]{6,})")
 _HEADER = re.compile(r"\b(?:Bearer|Basic|Token|ApiKey)\s+(?P<v>[\w.~+/=-]{8,})")
-_CALL = re.compile(r"\b(?:open_session|login|log_in|logIn|sign_?in|signIn|connect|authenticate|authorize|set_password|setPassword|credentials|dial|bind)\s*\((?P<args>[^()]{0,400})\)", re.S)
+_CALL = re.compile(r"\b(?:open_session|login|log_in|logIn|sign_?in|signIn|connect|authenticate|authorize|set_password|setPassword|credentials|dial|bind)\s*\((?P<args>[^()]*)\)", re.S)
 _HEXCALL = re.compile(r"\b(?:decode_hex|from_?hex|fromhex|unhex(?:lify)?|hex_decode|hexdec|DecodeString|b64decode|decode_base64|atob)\s*\(\s*(?:" + _LITERAL + ")")
 _COMMENT = re.compile(r"^\s*(?:\d+:\s*)?(?://|#|--|\*|/\*|;)|^[A-Z][\w ]+ [`\w]")
 _COMMENT_CUE = re.compile(r"(?i)\b(?:key|pw|pwd|pass|password|passwd|tok|token|secret|login|log in|creds?|staging|auth|rotate)\b")
 _COMMENT_PUBLIC = re.compile(r"(?i)\b(?:commit|built from|digest|checksum|sha\d*|etag|revision|hash|version|toolkit)\b")
 _WORD = re.compile(r"[A-Za-z]+|\d+")
+_END, _OPEN = re.compile(r"[,;}]|$"), re.compile(r"[({;]")
 # What a line must hold for a rule to find something on it: a name before = or :, or one of these.
 _NAME = re.compile(r"(?<![\w.-])(?:(?![A-Za-z_])[\w.-])*+([A-Za-z_][\w.-]*+)[\"']?[^\S\n]*+[:=]")
 _PLACES = tuple(
@@ -154,19 +155,21 @@ def _line_hits(text: str, start: int, end: int) -> list[Hit]:
     def add(spans: tuple, value: str, kind: str) -> None:
         hits.append(Hit(spans[0][0], spans, value, kind))
 
-    public_line = False
+    public_places: list[tuple[int, int]] = []  # where a public name tells what follows
+    full = start + len(line.rstrip())
     for m in _ASSIGN.finditer(line):
         named, public = _role(m["name"])
-        public_line |= public and bool(re.search(r"[\"'=:]", line))
         at = start + m.end()
-        found = _literals(text, at, min(len(text), end + 400) if text[at : at + 1] in "\"'`" and text[end - 1 : end] in '+\\"' else end)
+        found = _literals(text, at, len(text) if text[at : at + 1] in "\"'`" and text[end - 1 : end] in '+\\"' else end)
+        if public:
+            public_places.append((start + m.start(), max(found[0][-1][1] if found else at, _END.search(line, m.end()).start() + start)))
         if found:
             spans, value = found
             if not public and (is_value(value, named) or (named or m["call"]) and not is_placeholder(value) and re.fullmatch(r"[0-9a-fA-F]{32,128}", value)):
                 add(spans, value, "named" if named else "form")
-        elif named and not m["call"] and not re.search(r"[({;]", line[m.end() :]):
+        elif named and not m["call"] and not _OPEN.search(line, m.end()):
             b = _BARE.match(text, at, end)
-            if b and b.end() >= start + len(line.rstrip()) and is_value(b.group(), True) and not (text[at - 1].isspace() and _MEMBER.fullmatch(b.group())):
+            if b and b.end() >= full and is_value(b.group(), True) and not (text[at - 1].isspace() and _MEMBER.fullmatch(b.group())):
                 add((b.span(),), b.group(), "named")
     for pattern, kind in ((_URL, "url"), (_FLAG, "flag"), (_HEADER, "header")):
         for m in pattern.finditer(line):
@@ -174,10 +177,9 @@ def _line_hits(text: str, start: int, end: int) -> list[Hit]:
             fits = is_value(value, True) or (kind == "header" and _basic(value))
             if fits and not is_placeholder(value):
                 add(((start + m.start("v"), start + m.start("v") + len(value)),), value, kind)
-    if not public_line:
-        for m in TOKEN.finditer(line):
-            if not is_placeholder(m.group()):
-                add(((start + m.start(), start + m.end()),), m.group(), "form")
+    for m in TOKEN.finditer(line):
+        if not is_placeholder(m.group()) and not any(a <= start + m.start() < b for a, b in public_places):
+            add(((start + m.start(), start + m.end()),), m.group(), "form")
     if _COMMENT.match(line) and _COMMENT_CUE.search(line) and not _COMMENT_PUBLIC.search(line):
         for m in re.finditer(r"[^\s`\"',;()]{6,}", line):
             value = m.group().rstrip(".:")
@@ -205,10 +207,7 @@ def credentials(text: str | None) -> list[Hit]:
     for start in lines:
         end = text.find("\n", start)
         end = len(text) if end < 0 else end
-        if end - start <= 20_000:
-            hits += _line_hits(text, start, end)
-        else:  # a minified line: only values whose form says it
-            hits += [Hit(m.start(), (m.span(),), m.group(), "form") for m in TOKEN.finditer(text, start, end) if not is_placeholder(m.group())]
+        hits += _line_hits(text, start, end)
     if "(" in text:
         for m in _CALL.finditer(text):
             strings = [s for s in _STRING.finditer(text, m.start("args"), m.end("args"))]

@@ -94,3 +94,22 @@ def test_no_line_with_a_hit_is_skipped(text, value):
 
 def test_member_chain_is_no_value():
     assert credentials("  seed = argv0.state\n") == [] and len(credentials("SEED=argv0.state7")) == 1
+
+
+def test_rules_hold_in_lines_of_any_length():
+    import time
+
+    key = "d73991caa058695fdbd350c1dad51920"
+    one = '{"id":"x",' + '"a":1,' * 9_000 + f'"password":"Harrow-Quill-99+","url":"u","api_key":"{key}","t":"ghp_uwaOFhaqdGKqwU0uXMIE6MziCNP5PxNrtovZ"' + ',"b":[2]' * 9_000 + "}"
+    assert [h.value for h in credentials(one)] == ["Harrow-Quill-99+", key, "ghp_uwaOFhaqdGKqwU0uXMIE6MziCNP5PxNrtovZ"]
+    began = time.time()
+    assert [h.value for h in credentials("A1b" * 20_000 + f';pwd="x9$kQ2!";k("{"Zb3" * 20_000}");x=1')] == ["x9$kQ2!"]
+    assert time.time() - began < 10
+
+
+def test_long_joined_literals_and_calls_are_whole():
+    pieces = [f"{k:04d}abcdefABCDEF" * 2 for k in range(6)]
+    source = 'secret = "' + '" +\n                                                                                  "'.join(pieces) + '"\n'
+    (hit,) = credentials(source)
+    assert hit.value == "".join(pieces) and len(hit.spans) == 6
+    assert [h.value for h in credentials('login(\n' + '  "some_argument",\n' * 40 + '  "lantern5730+"\n);')] == ["lantern5730+"]
