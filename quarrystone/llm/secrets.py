@@ -2,16 +2,18 @@
 
 Candidate literals of all texts are indexed with the repos that hold them; a value that many repos
 share is a placeholder, not a secret. What stays is confirmed by its form or by the place that names
-it, and every text that holds a run of characters of a confirmed value is scanned again for all of
-them with an automaton, which finds bare copies that nothing names.
+it, and every text that holds the key (runs of letters and digits) of a confirmed value is scanned
+again for all of them with an automaton, which finds bare copies that nothing names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +23,64 @@ from ..session import checkpointed, spread
 from .secret_rules import credentials, masked
 
 MAX_OWNERS = 5  # a value in more repos than this is a shared placeholder
-#: Runs by which texts meet values: 8 characters or more, with a letter and a digit, that are no plain name with a counter.
-_ANCHOR = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])(?![A-Za-z]?[a-z_]+[0-9]{1,3}(?![A-Za-z0-9_-]))[A-Za-z0-9_-]{8,}"
+_RUN = re.compile(r"[A-Za-z0-9]+")
+BITS = 24  # the filter of keys before the join is a bitmap of 2**BITS bits (2 MB), whatever the number of values
 _CANDIDATES = "chunk_id bigint, path string, line_no int, value string, kind string, spans array<struct<a:int,b:int>>, anchor string"
 _PLACES = "chunk_id bigint, line_nos array<int>, redacted string"
 
 
 def anchor(value: str) -> str | None:
-    """The longest run of a value by which it is looked up, or null where it has none."""
-    runs = re.findall(_ANCHOR, value)
-    return max(runs, key=len) if runs else None
+    """The key by which texts meet a value: its longest two neighbouring runs of letters and digits, or its only run.
+
+    A copy of a value has no letter or digit beside it, so its runs are runs of the text too.
+    """
+    runs = _RUN.findall(value)
+    return max((f"{a} {b}" for a, b in zip(runs, runs[1:], strict=False)), key=len) if len(runs) > 1 else runs[0] if runs else None
+
+
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """2**BITS bits: those of the crc32 of every key (anchor) and of its first run. At most 2**(BITS - 6) rows come to the driver."""
+    keys = values.where("anchor is not null").select(F.explode(F.array("anchor", F.substring_index("anchor", " ", 1))).alias("k"))
+    bit = keys.select((F.crc32(F.col("k").cast("binary")) % (1 << BITS)).cast("int").alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, bit & 63))").alias("word")).collect()
+    out = np.zeros(1 << BITS - 6, np.int64)
+    for at, word in words:
+        out[at] = word
+    return np.unpackbits(out.astype("<i8").view(np.uint8), bitorder="little")
+
+
+def key_rows(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """(chunk_id, anchor) of the keys of ``values`` that texts (chunk_id, source) hold.
+
+    The filter lets some others through (the join drops them) and keeps all that match.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(values)).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        known: dict[str, bool] = {}
+
+        def may(key: str) -> bool:
+            k = zlib.crc32(key.encode()) & ((1 << BITS) - 1)
+            return bool(bits[k >> 3] >> (7 - (k & 7)) & 1)
+
+        for batch in batches:
+            ids, keys = [], []
+            for chunk_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                runs = _RUN.findall(text)
+                for w in (distinct := set(runs)):
+                    if w not in known:
+                        known[w] = may(w)
+                if first := {w for w in distinct if known[w]}:
+                    pairs = {f"{a} {b}" for a, b in zip(runs, runs[1:], strict=False) if a in first}
+                    found = [*first, *filter(may, pairs)]
+                    ids += [chunk_id] * len(found)
+                    keys += found
+                if len(known) > 500_000:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["chunk_id", "anchor"])
+
+    return spread(texts).mapInArrow(run, "chunk_id bigint, anchor string")
 
 
 def candidates(chunks: DataFrame) -> DataFrame:
@@ -76,8 +126,7 @@ def places(chunks: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     direct = found.join(values.select("value"), "value", "left_semi").select("chunk_id", "line_no", "spans")
     direct = direct.groupBy("chunk_id").agg(F.collect_set(F.struct("line_no", "spans")).alias("direct"))
     texts = chunks.where("id is not null and source is not null").select(F.col("id").alias("chunk_id"), "source")
-    runs = texts.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(f"({_ANCHOR})"), 1))).alias("anchor"))
-    again = runs.join(values.where("anchor is not null").select("anchor", "value"), "anchor")
+    again = key_rows(texts, values).join(values.where("anchor is not null").select("anchor", "value"), "anchor")
     again = again.groupBy("chunk_id").agg(F.collect_set("value").alias("values"))
     marked = direct.join(again, "chunk_id", "full")
     return texts.join(marked, "chunk_id").dropDuplicates(["chunk_id"]).mapInArrow(_rescan, _PLACES)

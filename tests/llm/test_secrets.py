@@ -113,3 +113,14 @@ def test_long_joined_literals_and_calls_are_whole():
     (hit,) = credentials(source)
     assert hit.value == "".join(pieces) and len(hit.spans) == 6
     assert [h.value for h in credentials('login(\n' + '  "some_argument",\n' * 40 + '  "lantern5730+"\n);')] == ["lantern5730+"]
+
+
+def test_every_confirmed_value_is_found_again(spark):
+    values = ["Ves40.copper7", "Orc68.orchidQ", "xK9$mQ2!vR", "Swordfish42", "$$aB12cd!", "15eQ1rCIso213XDf2h"]
+    named = [(k, f"r/{k}.c", f'pwd = "{v}";') for k, v in enumerate(values)]
+    bare = [(100 + k, f"s/{k}.txt", f"first\nuse {v} here") for k, v in enumerate(values)]
+    beside = [(200 + k, f"t/{k}.txt", f"x-{v}_y z_{v}") for k, v in enumerate(values)]
+    near = [(300 + k, f"u/{k}.txt", f"x{v}x") for k, v in enumerate(values) if v[0].isalnum()]
+    df = spark.createDataFrame(named + bare + beside + near, "id long, path string, source string")
+    got = {r["chunk_id"]: r["redacted"] for r in secrets.places(df).collect()}
+    assert got == {k: text.replace(values[k % 100], "REDACTED") for k, _, text in named + bare + beside}
