@@ -26,7 +26,13 @@ _PLACEHOLDER = re.compile(
     r"(?i)^(?:.*(?:redacted|change[-_]?me|replace[-_]?me|placeholder|your[-_]|example|dummy|fixme|todo|insert[-_]|set[-_]in|vault:|"
     r"\$\{|\{\{|%\(|<[\w -]+>|\*{3}|x{4}|\.{3}).*|(.)\1*|\W*|none|null|true|false|test|secret|password|token|admin|root|undefined)$"
 )
-PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:\s|\\[nr]|[\"'`+,\\]){0,40}[A-Za-z0-9+/=:,\s\\-]{40,}?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z|(?=[\"'`]))")
+_FRAME = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+KEY_BEGIN, KEY_END = re.compile("-----BEGIN " + _FRAME), re.compile("-----END " + _FRAME)
+# One line or literal of a key without its END: base64 or a header, with comment marks, quotes and joins around it.
+_KEY_LINE = re.compile(r"(?:\\[nr]|[\s\"'`+,.\\*#/;()-])*(?:(?:Version|Comment|Proc-Type|DEK-Info|Hash|Charset|MessageID)\s?:[^\n\"'`\\]*|=?[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{2,}={1,2}|=[A-Za-z0-9+/]{4})(?=\\[nr]|[\s\"'`]|\Z)(?:\\[nr])*")
+_KEY_PIECE = re.compile(r"(?<![A-Za-z0-9+/=\\])=?[A-Za-z0-9+/]{2,}={0,2}|(?<=\\[nr])=?[A-Za-z0-9+/]{2,}={0,2}")
+_MARK, _CODE = re.compile(r"[+/]+"), re.compile(r"[(){}\[\]_]")
+_KEY_HEADER = re.compile(r"(?:Version|Comment|Proc-Type|DEK-Info|Hash|Charset|MessageID)\s?:[^\n\"'`\\]*")
 TOKEN = re.compile(
     r"(?<![\w/+.-])(?:"
     r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}"
@@ -193,6 +199,27 @@ def _line_hits(text: str, start: int, end: int) -> list[Hit]:
     return hits
 
 
+def private_keys(text: str) -> list[tuple[int, int, tuple]]:
+    """Start, end and base64 pieces of every private key, whatever stands between its lines.
+
+    A key goes to its END frame if no other BEGIN is before it, else as far as its lines look like those of a key.
+    """
+    out, begins = [], list(KEY_BEGIN.finditer(text))
+    for k, m in enumerate(begins):
+        limit = begins[k + 1].start() if k + 1 < len(begins) else len(text)
+        last = KEY_END.search(text, m.end(), limit)
+        stop, end = (last.start(), last.end()) if last else (m.end(), m.end())
+        while not last and (line := _KEY_LINE.match(text, stop, limit)):
+            stop = end = line.end()
+        headers = [h.span() for h in _KEY_HEADER.finditer(text, m.end(), stop)]
+        pieces = [p.span() for p in _KEY_PIECE.finditer(text, m.end(), stop) if not any(a <= p.start() < b for a, b in headers) and not _MARK.fullmatch(p.group())]
+        # code between two frames, as of a test for them, is no key: its words are short and it has brackets
+        least = 16 if _CODE.search(text, m.end(), stop) else 2
+        if sum(b - a for a, b in pieces if b - a >= least) >= 40:
+            out.append((m.start(), end, tuple(pieces)))
+    return out
+
+
 def credentials(text: str | None) -> list[Hit]:
     """Candidate credentials of a source text, each place once, in order. Empty and null texts have none."""
     if not text:
@@ -200,9 +227,9 @@ def credentials(text: str | None) -> list[Hit]:
     hits: list[Hit] = []
     keys = []
     if "PRIVATE KEY" in text:
-        for m in PRIVATE_KEY.finditer(text):
-            hits.append(Hit(m.start(), (m.span("body"),), re.sub(r"\s|\\n", "", m["body"])[:200], "private key"))
-            keys.append(m.span())
+        for start, end, spans in private_keys(text):
+            hits.append(Hit(start, spans, "".join(text[a:b] for a, b in spans)[:200], "private key"))
+            keys.append((start, end))
     lines = hot_lines(text)
     for start in lines:
         end = text.find("\n", start)
