@@ -10,12 +10,12 @@ from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; 0 for a null, an empty or a zero vector and for unlike lengths."""
+    """Cosine in double precision; 0 for a null, an empty or a zero vector, for unlike lengths and where a NaN or an infinity leaves no number."""
     zero, d = F.lit(0.0), lambda x: x.cast("double")
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: d(x) * d(y)), zero, lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, zero, lambda s, x: s + d(x) * d(x)))
     size = norm(a) * norm(b)
-    return F.coalesce(F.when((F.size(a) == F.size(b)) & (size > 0), dot / size), zero)
+    return F.nanvl(F.coalesce(F.when((F.size(a) == F.size(b)) & (size > 0), dot / size), zero), zero)
 
 
 @F.pandas_udf(ArrayType(FloatType()))

@@ -14,8 +14,9 @@ EDGE_KINDS = ("calls", "imports")
 
 
 def find_symbols(symbols: DataFrame, pattern: str, kind: str | None = None) -> DataFrame:
+    """Symbols whose name contains the pattern, in order of path and line."""
     found = symbols.where(contains_like(F.col("name"), pattern))
-    return found if kind is None else found.where(F.col("kind") == kind)
+    return (found if kind is None else found.where(F.col("kind") == kind)).orderBy("path", "line_start", "id")
 
 
 def callers(deps: DataFrame, symbol: str) -> DataFrame:
@@ -43,7 +44,7 @@ def chunk_for_symbol(chunks: DataFrame, symbol: str) -> DataFrame:
 def suggestions(symbols: DataFrame, pattern: str, limit: int = 5) -> DataFrame:
     """First ``limit`` distinct names that contain the pattern, in order of path and line."""
     first = F.min(F.struct("path", "line_start", "id")).alias("first")
-    return find_symbols(symbols, pattern).groupBy("name").agg(first).orderBy("first", "name").limit(limit).select("name")
+    return symbols.where(contains_like(F.col("name"), pattern)).groupBy("name").agg(first).orderBy("first", "name").limit(limit).select("name")
 
 
 def _conditions(where: list[tuple[str, str, str]]) -> Column:
@@ -64,10 +65,24 @@ def _conditions(where: list[tuple[str, str, str]]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def match_nodes(symbols: DataFrame, label: str | None = None, where: list[tuple[str, str, str]] = ()) -> DataFrame:
+def match_nodes(symbols: DataFrame, label: str | None = None, where: list[tuple[str, str, str]] = (), limit: int | None = None) -> DataFrame:
     """Symbols of a kind (the label, in any case) that meet all conditions; unknown kinds match nothing."""
     found = symbols.where(_conditions(list(where)))
-    return found if label is None else found.where(F.col("kind") == label.lower())
+    found = found if label is None else found.where(F.col("kind") == label.lower())
+    return found if limit is None else found.limit(limit)
+
+
+def returned(rows: DataFrame, items: list[str], limit: int | None = None) -> DataFrame:
+    """Chosen parts of matched rows: ``a`` is the whole symbol, ``a.name`` one property; repeated items come once.
+
+    Columns are named like the items. ``rows`` has a struct column per variable.
+    """
+    for item in items:
+        variable, _, prop = item.partition(".")
+        if variable not in rows.columns or (prop and prop not in SYMBOL_COLUMNS):
+            raise ValueError(f"unknown item: {item}")
+    out = rows.select(*[F.col(i).alias(i) for i in dict.fromkeys(items)])
+    return out if limit is None else out.limit(limit)
 
 
 def match_edges(
@@ -76,6 +91,7 @@ def match_edges(
     kind: str,
     source: tuple[str | None, list] = (None, []),
     target: tuple[str | None, list] = (None, []),
+    limit: int | None = None,
 ) -> DataFrame:
     """Rows (a, b) for each edge of ``kind`` from a symbol a to a symbol b.
 
@@ -96,7 +112,8 @@ def match_edges(
     reached = exact_target.unionByName(any_target).select("source_path", "source_symbol", "b")
     exact_source = reached.where("source_symbol is not null").join(a, (F.col("source_symbol") == F.col("a.name")) & (F.col("source_path") == F.col("a.path")))
     any_source = reached.where("source_symbol is null").join(a, F.col("source_path") == F.col("a.path"))
-    return exact_source.unionByName(any_source).select("a", "b")
+    found = exact_source.unionByName(any_source).select("a", "b")
+    return found if limit is None else found.limit(limit)
 
 
 def nested_json(rows: DataFrame) -> DataFrame:
@@ -117,15 +134,20 @@ def key_symbols(symbols: DataFrame, deps: DataFrame, limit: int = 10) -> DataFra
 
 
 def dead_code(symbols: DataFrame, deps: DataFrame) -> DataFrame:
-    """Functions and methods that no call names, outside paths with ``test`` in them."""
+    """Functions and methods that no call names, outside paths with ``test`` in them, in order of path and line."""
     called = deps.where("kind = 'calls'").select(F.col("target_symbol").alias("name")).distinct()
     live = (F.col("kind").isin("function", "method")) & ~F.col("name").isin("main", "new", "default")
-    return symbols.where(live & ~F.col("path").rlike("(?i)test")).join(called, "name", "left_anti")
+    return symbols.where(live & ~F.col("path").rlike("(?i)test")).join(called, "name", "left_anti").orderBy("path", "line_start", "id")
+
+
+def dead_code_count(symbols: DataFrame, deps: DataFrame) -> DataFrame:
+    """One row: the number of rows of ``dead_code``."""
+    return dead_code(symbols, deps).agg(F.count("*").alias("dead"))
 
 
-def entry_points(symbols: DataFrame) -> DataFrame:
-    """Symbols named main or with entry or start in the name, as ``name (kind) in path``."""
-    hit = (F.col("name") == "main") | F.col("name").rlike("(?i)entry|start")
+def entry_points(symbols: DataFrame, name: str = "main", parts: tuple[str, ...] = ("entry", "start")) -> DataFrame:
+    """Symbols of that name or with one of ``parts`` in theirs, as ``name (kind) in path``."""
+    hit = reduce(lambda a, b: a | b, [contains_like(F.col("name"), p) for p in parts], F.col("name") == name)
     return symbols.where(hit).select(F.concat("name", F.lit(" ("), "kind", F.lit(") in "), "path").alias("label"))
 
 

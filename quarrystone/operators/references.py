@@ -2,8 +2,9 @@
 
 Everything that happens to a key of a referred table is a signed change: +1 existence when a record
 appears, -1 when it goes, +1 reference for each edge that names the key. Running totals along time
-tell what existed when an edge was seen; plain totals tell which keys are orphans now. Totals of two
-batches add up, so a new batch of changes is merged into a kept state without reading old rows.
+tell what existed when an edge was seen; plain totals tell which keys are orphans now. A change of a
+file is signed against the last known status of its path (``file_state``), so totals of batches add up
+however the changes were divided and in whatever order they arrived; no old row is read again.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from .timeline import previous_value, running_sum
 
 DAY = 86_400
 SEPARATOR = "\x00"  # stands in no path or name, so joined keys stay distinct
-EMPTY_STATE = "ref_table string, key string, refs bigint, existing bigint"
 
 
 def bare_name(target: Column) -> Column:
@@ -33,15 +33,44 @@ def _repo(path: Column) -> Column:
     return F.substring_index(path, "/", 1)
 
 
+def _told(changes: DataFrame) -> DataFrame:
+    return changes.where("path is not null and changed_at is not null and status is not null and status != 'hash-mismatch'")
+
+
+def file_state(changes: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(path, changed_at, change_id, there): the last known existence of each path (1 or 0).
+
+    ``before`` is the state of earlier batches. The last change is the one with the greatest
+    (changed_at, change_id), so a late row of an older change alters nothing. Rows are as in ``file_deltas``.
+    """
+    there = F.when(F.col("status") == "deleted", 0).otherwise(1).cast("bigint").alias("there")
+    rows = _told(changes).select("path", "changed_at", "change_id", there)
+    rows = rows if before is None else rows.unionByName(before)
+    last = rows.groupBy("path").agg(F.max(F.struct("changed_at", "change_id", "there")).alias("v"))
+    return last.select("path", "v.changed_at", "v.change_id", "v.there")
+
+
+def state_deltas(after: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(ref_table, key, existing): signed changes of existence from one file state to the next.
+
+    The state before is taken off (-1 for what existed) and the state after put on, in one aggregation.
+    """
+    rows = after.select("path", "there")
+    if before is not None:
+        rows = rows.unionByName(before.select("path", (-F.col("there")).alias("there")))
+    moved = rows.groupBy(F.col("path").alias("key")).agg(F.sum("there").alias("existing"))
+    return moved.where("existing != 0").select(F.lit("files").alias("ref_table"), "key", "existing")
+
+
 def file_deltas(changes: DataFrame) -> DataFrame:
-    """(ref_table, key, at, existing): +1 where a path comes to exist, -1 where it is deleted.
+    """(ref_table, key, at, existing) along the whole time line: +1 where a path comes to exist, -1 where it is deleted.
 
     ``hash-mismatch`` rows say nothing about existence and are left out, as are rows without path or
     time. Replayed rows (same change_id, path, status and changed_at) count once; of changes at the
-    same time the one with the greatest change_id is the last.
+    same time the one with the greatest change_id is the last. A time line starts with nothing:
+    batches of changes are added up by ``file_state`` and ``state_deltas``.
     """
-    told = changes.where("path is not null and changed_at is not null and status is not null and status != 'hash-mismatch'")
-    state = told.groupBy("path", "changed_at").agg(F.max_by("status", "change_id").alias("status"))
+    state = _told(changes).groupBy("path", "changed_at").agg(F.max_by("status", "change_id").alias("status"))
     state = state.select("path", "changed_at", F.when(F.col("status") == "deleted", 0).otherwise(1).cast("bigint").alias("there"))
     moved = previous_value(state, ["path"], ["changed_at"], "changed_at", "there", "was", 30 * DAY)
     delta = F.col("there") - F.coalesce("was", F.lit(0))
@@ -110,7 +139,7 @@ def orphan_report(orphans: DataFrame) -> DataFrame:
 
 
 def key_totals(*batches: DataFrame) -> DataFrame:
-    """Signed totals (ref_table, key, refs, existing) of batches of changes or of earlier totals."""
+    """Signed totals (ref_table, key, refs, existing) of batches of deltas (``state_deltas``, ``symbol_deltas``, references) or of earlier totals."""
     fill = lambda b, c: F.col(c) if c in b.columns else F.lit(0).cast("bigint").alias(c)
     rows = [b.select("ref_table", "key", fill(b, "refs"), fill(b, "existing")) for b in batches]
     return reduce(DataFrame.unionByName, rows).groupBy("ref_table", "key").agg(F.sum("refs").alias("refs"), F.sum("existing").alias("existing"))
@@ -119,5 +148,5 @@ def key_totals(*batches: DataFrame) -> DataFrame:
 def current_orphans(deps: DataFrame, symbols: DataFrame, changes: DataFrame, externals: DataFrame) -> DataFrame:
     """(ref_table, key, refs): keys with references and no existing record now."""
     refs = reference_rows(deps, externals).groupBy("ref_table", "key").agg(F.count("*").alias("refs"))
-    totals = key_totals(refs, file_deltas(changes), symbol_deltas(symbols))
+    totals = key_totals(refs, state_deltas(file_state(changes)), symbol_deltas(symbols))
     return totals.where("refs > 0 and existing <= 0").select("ref_table", "key", "refs")

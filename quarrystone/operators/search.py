@@ -44,20 +44,78 @@ def bm25(chunks: DataFrame, text: str, all_words: bool = True) -> DataFrame:
     tf = [sum((_occurrences(F.col(f"t{k}"), p) for k in range(1, len(INDEXED))), _occurrences(F.col("t0"), p)).alias(f"tf{n}") for n, p in enumerate(phrases)]
     length = sum((F.size(f"t{k}") for k in range(1, len(INDEXED))), F.size("t0"))
     counted = split.select("id", "path", length.alias("len"), *tf)
-    stats = counted.agg(
-        F.count("*").alias("docs"), F.avg("len").alias("avg_len"),
-        *[F.count_if(F.col(f"tf{n}") > 0).alias(f"df{n}") for n in range(len(phrases))],
-    )
+    stats = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"), *_df(len(phrases)))
+    return _ranked(counted, stats, len(phrases), all_words)
+
+
+def _df(n: int) -> list[Column]:
+    return [F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(n)]
+
+
+def _ranked(counted: DataFrame, stats: DataFrame, words: int, all_words: bool) -> DataFrame:
+    """(id, path, rank) from counts (id, path, len, tf0, ...) and one row of corpus sums (docs, avg_len, df0, ...)."""
     score = F.lit(0.0)
-    for n in range(len(phrases)):
+    for n in range(words):
         df, f = F.col(f"df{n}"), F.col(f"tf{n}")
         idf = F.greatest(F.log((F.col("docs") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    tests = [F.col(f"tf{n}") > 0 for n in range(len(phrases))]
+    tests = [F.col(f"tf{n}") > 0 for n in range(words)]
     hit = reduce((lambda p, q: p & q) if all_words else (lambda p, q: p | q), tests)
     return counted.where(hit).join(F.broadcast(stats)).select("id", "path", (-score).alias("rank"))
 
 
+def text_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inverted index of chunks (id, path, header, symbol): postings and corpus sums.
+
+    Postings are (term, id, path, len, at): one row per chunk and term, ``at`` its positions, ``len`` the
+    chunk's number of terms. The sums are one row (docs, avg_len). Chunks count once per id; null ids are left out.
+    """
+    once = one_per_id(chunks, list(INDEXED))
+    parts = [terms(F.col(c)) for c in INDEXED]
+    gap = F.array(F.lit(""))  # keeps phrases within a column
+    tokens = F.concat(parts[0], *[x for p in parts[1:] for x in (gap, p)])
+    split = once.select("id", "path", tokens.alias("t")).withColumn("len", F.size("t") - (len(INDEXED) - 1))
+    places = lambda term: F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get(F.col("t"), i) == term)
+    listed = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), places(w).alias("at")))
+    postings = split.select("id", "path", "len", F.explode(listed).alias("p")).where("p.term != ''")
+    return postings.select("p.term", "id", "path", "len", "p.at"), split.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
+
+
+def write_text_index(chunks: DataFrame, folder: str) -> None:
+    """Keep the index of a version of the chunks: postings lie sorted by term, so a search reads the row groups of
+    its words only; a term that every chunk holds is spread over files by id."""
+    postings, sums = text_index(chunks)
+    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+    sums.write.mode("overwrite").parquet(f"{folder}/sums")
+
+
+def bm25_kept(postings: DataFrame, sums: DataFrame, text: str, all_words: bool = True) -> DataFrame:
+    """``bm25`` from a kept index: the same rows, read from the postings of the query's words alone."""
+    phrases = query_words(text)
+    if not phrases:
+        return postings.sparkSession.createDataFrame([], "id bigint, path string, rank double")
+    words = sorted({w for p in phrases for w in p})
+    at = {w: F.col(f"a{k}") for k, w in enumerate(words)}
+    lists = [F.max(F.when(F.col("term") == w, F.col("at"))).alias(f"a{k}") for k, w in enumerate(words)]
+    held = postings.where(F.col("term").isin(words)).groupBy("id").agg(F.first("path").alias("path"), F.first("len").alias("len"), *lists)
+
+    def count(p: list[str]) -> Column:
+        def together(x: Column) -> Column:
+            return reduce(lambda a, b: a & b, [F.coalesce(F.array_contains(at[w], x + k), F.lit(False)) for k, w in enumerate(p) if k], F.lit(True))
+
+        return F.coalesce(F.size(F.filter(at[p[0]], together)), F.lit(0))
+
+    counted = held.select("id", "path", "len", *[F.when(at[p[0]].isNull(), 0).otherwise(count(p)).alias(f"tf{n}") for n, p in enumerate(phrases)])
+    stats = counted.agg(*_df(len(phrases))).join(F.broadcast(sums))  # two single rows
+    return _ranked(counted, stats, len(phrases), all_words)
+
+
+def one_per_id(chunks: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, *columns) with one row per id, of unlike ones the greatest; null ids are left out."""
+    last = F.max(F.struct(*columns)).alias("v")
+    return chunks.where("id is not null").groupBy("id").agg(last).select("id", *[F.col(f"v.{c}").alias(c) for c in columns])
+
+
 def best_per_file(hits: DataFrame, k: int) -> DataFrame:
     """The best hit of each path among the best 4 k hits, at most k paths. Ties break by id."""
     pool = hits.orderBy("rank", "id").limit(4 * k)
@@ -140,20 +198,25 @@ def _normalised(pool: DataFrame) -> DataFrame:
     return pool.join(F.broadcast(bounds)).select("id", scaled.alias("score"))
 
 
-def fused(chunks: DataFrame, vectors: DataFrame | None, text: str, query_vector: list[float] | None, k: int = 5, include_source: bool = True, max_bytes: int = 2400) -> DataFrame:
+def fused(chunks: DataFrame, vectors: DataFrame | None, text: str, query_vector: list[float] | None, k: int = 5, include_source: bool = True, max_bytes: int = 2400, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The k best chunks by weighted vector, text and exact-symbol score (path, symbol, ..., score).
 
     Without a query vector the vector share is 0 and the weights stay as they are. A signal that
     does not know a chunk counts 0. Every chunk with a vector is a candidate; sources are fetched
-    only for the k rows that remain. ``vectors`` has chunk_id and embedding.
+    only for the k rows that remain. ``vectors`` has chunk_id and embedding. A re-delivered chunk or
+    vector counts once (of unlike vectors of a chunk the nearest), a vector that holds a NaN scores 0.
+    ``index`` is a kept text index (postings, sums); without one the chunks are scanned.
     """
     from ..functions.vectors import cosine
 
-    pool = bm25(chunks, text).orderBy("rank", "id").limit(TEXT_POOL).select("id", (-F.col("rank")).alias("score"))
+    base = one_per_id(chunks, list(INDEXED))
+    hits = bm25_kept(*index, text) if index else bm25(base, text)
+    pool = hits.orderBy("rank", "id").limit(TEXT_POOL).select("id", (-F.col("rank")).alias("score"))
     signals = [_normalised(pool).withColumn("score", F.col("score") * WEIGHTS["text"])]
     if query_vector is not None and vectors is not None:
         q = F.array(*[F.lit(float(x)) for x in query_vector])
-        scored = vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("id"), cosine(F.col("embedding"), q).alias("score"))
+        known = vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+        scored = known.groupBy(F.col("chunk_id").alias("id")).agg(F.max(cosine(F.col("embedding"), q)).alias("score"))
         signals.append(_normalised(scored).withColumn("score", F.col("score") * WEIGHTS["vector"]))
     if tokens := query_tokens(text):
         exact = chunks.where(F.col("symbol").isin(tokens)).select("id").distinct()

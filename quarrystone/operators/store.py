@@ -50,6 +50,28 @@ def cache_row(hits: DataFrame, key: str, now: int) -> DataFrame:
     return row.select(F.lit(key).alias("key"), F.to_json(F.struct(F.lit(now).cast("bigint").alias("ts"), "hits")).alias("value"))
 
 
+def without_expired(meta: DataFrame, now: int) -> DataFrame:
+    """The table without the kept results that can no longer be read; other rows stay."""
+    fresh = cached_entries(meta, now).where("fresh").select("key").distinct()
+    kept = meta.where(F.startswith("key", F.lit(CACHE_PREFIX))).join(fresh, "key", "left_semi").select("key", "value")
+    return drop_prefix(meta).select("key", "value").unionByName(kept)
+
+
+def add_record(adrs: DataFrame, title: str, body: str, created_at: str) -> DataFrame:
+    """The decision records with one more, whose id is the greatest so far plus 1. Blank titles are refused."""
+    if not title.strip():
+        raise ValueError("a record needs a title")
+    new = adrs.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).select("id", F.lit(title).alias("title"), F.lit(body).alias("body"), F.lit(created_at).alias("created_at"))
+    return adrs.select("id", "title", "body", F.col("created_at").cast("string").alias("created_at")).unionByName(new)
+
+
+def hit_json(columns: list[str], optional: str = "source") -> Column:
+    """A hit as one JSON object: nulls are kept, but ``optional`` is left out where it is null."""
+    keep = {"ignoreNullFields": "false"}
+    rest = [c for c in columns if c != optional]
+    return F.when(F.col(optional).isNull(), F.to_json(F.struct(*rest), keep)).otherwise(F.to_json(F.struct(*columns), keep))
+
+
 def newest_records(adrs: DataFrame) -> DataFrame:
     """Decision records, newest first; equally new ones by id, greatest first. The time is text."""
     return adrs.orderBy(F.desc("created_at"), F.desc("id")).select("id", "title", "body", F.col("created_at").cast("string").alias("created_at"))

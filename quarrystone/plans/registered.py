@@ -10,10 +10,10 @@ from ..extract.extractors import extract_deps, extract_symbols
 from ..functions.text import cap_bytes, contains_like, first_segment, glob_words, parsed_language
 from ..functions.vectors import cosine, decode_vector, encode_vector
 from ..operators import graph, indexing, references, reports, search, store
-from ..sources.scan import has_part, indexable_path, porcelain_status
+from ..sources.scan import WATCH_IGNORED_PARTS, indexable_path, porcelain_status
 from ..sources.tables import current_files, live_symbols, read
 from ..streaming.changes import change_rates
-from ..streaming.debounce import debounce
+from ..streaming.debounce import debounce, watched
 
 QUERIES: dict = {}
 SEARCH_TEXT = "node window"
@@ -24,10 +24,8 @@ def query(f):
     return f
 
 
-def _whole_files(s: SparkSession, d: str) -> DataFrame:
-    """(path, source, sha256) of whole-file chunks; of several texts of a path the one with the least id."""
-    whole = read(s, d, "chunks").where("kind = 'file' and path is not null")
-    return whole.groupBy("path").agg(F.min_by(F.struct("source", "body_sha256"), "id").alias("v")).select("path", F.col("v.source").alias("source"), F.col("v.body_sha256").alias("sha256"))
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return indexing.file_texts(read(s, d, "chunks"))
 
 
 # -- symbol graph ---------------------------------------------------------------------------------
@@ -116,7 +114,19 @@ def dead_code(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def entry_points(s: SparkSession, d: str) -> DataFrame:
-    return graph.entry_points(live_symbols(s, d))
+    return graph.entry_points(live_symbols(s, d), "run", ("init", "entry", "start"))
+
+
+@query
+def dead_code_count(s: SparkSession, d: str) -> DataFrame:
+    return graph.dead_code_count(live_symbols(s, d), read(s, d, "deps"))
+
+
+@query
+def pattern_returned(s: SparkSession, d: str) -> DataFrame:
+    rows = graph.match_edges(live_symbols(s, d), read(s, d, "deps"), "calls", ("method", []), ("class", []))
+    out = graph.returned(rows, ["a.name", "b.path", "b.line_start", "a.name"])
+    return out.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in out.columns])
 
 
 @query
@@ -199,7 +209,20 @@ def bm25_any_word(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_phrase(s: SparkSession, d: str) -> DataFrame:
-    return search.bm25(_chunks(s, d), "slot_v2 py").select("id", F.round("rank", 6).alias("score"))
+    return search.bm25(_chunks(s, d), "trace_span py").select("id", F.round("rank", 6).alias("score"))
+
+
+@query
+def bm25_kept_index(s: SparkSession, d: str) -> DataFrame:
+    index = search.text_index(_chunks(s, d))
+    return search.bm25_kept(*index, "to_text ledger", all_words=False).select("id", "path", F.round("rank", 6).alias("score"))
+
+
+@query
+def index_terms(s: SparkSession, d: str) -> DataFrame:
+    """Documents and occurrences of every term of the text index."""
+    postings, _ = search.text_index(_chunks(s, d))
+    return postings.groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("at")).alias("occurrences"))
 
 
 @query
@@ -270,7 +293,7 @@ def retrieval_metrics(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_slices(s: SparkSession, d: str) -> DataFrame:
-    return indexing.chunk_slices(_whole_files(s, d).select("path", "source"), live_symbols(s, d)).select("path", "symbol", "kind", "line_start", "line_end", "body_sha256")
+    return indexing.chunk_slices(_texts(s, d), live_symbols(s, d)).select("path", "symbol", "kind", "line_start", "line_end", "body_sha256")
 
 
 @query
@@ -280,12 +303,15 @@ def body_hashes(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def file_plan(s: SparkSession, d: str) -> DataFrame:
-    return indexing.plan_files(_whole_files(s, d), current_files(read(s, d, "files")))
+    return indexing.plan_files(_texts(s, d), current_files(read(s, d, "files")))
 
 
 @query
 def file_plan_counters(s: SparkSession, d: str) -> DataFrame:
-    return indexing.index_counters(file_plan(s, d))
+    chunks = read(s, d, "chunks").select("id", "path", "symbol", "kind", "header", "body_sha256")
+    reused = indexing.reusable(chunks, chunks.where("header != ''"))
+    unreadable = read(s, d, "chunks").where("source is null").select("path").distinct()
+    return indexing.index_counters(file_plan(s, d), unreadable, reused, reused.where("header is null"))
 
 
 @query
@@ -312,7 +338,7 @@ def newest_changes(s: SparkSession, d: str) -> DataFrame:
 @query
 def staleness(s: SparkSession, d: str) -> DataFrame:
     changes = indexing.newest_change(read(s, d, "file_changes")).where("status = 'modified'")
-    return indexing.staleness(changes, _whole_files(s, d), current_files(read(s, d, "files")))
+    return indexing.staleness(changes, _texts(s, d), current_files(read(s, d, "files")))
 
 
 @query
@@ -335,13 +361,13 @@ def glob_queries(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def extracted_symbols(s: SparkSession, d: str) -> DataFrame:
-    found = extract_symbols(_whole_files(s, d))
+    found = extract_symbols(_texts(s, d))
     return found.groupBy("path", "kind").agg(F.count("*").alias("n"), F.min("line_start").alias("first_line"))
 
 
 @query
 def extracted_deps(s: SparkSession, d: str) -> DataFrame:
-    return extract_deps(_whole_files(s, d)).groupBy("source_path", "kind", "target_symbol").agg(F.count("*").alias("n"))
+    return extract_deps(_texts(s, d)).groupBy("source_path", "kind", "target_symbol").agg(F.count("*").alias("n"))
 
 
 # -- change stream --------------------------------------------------------------------------------
@@ -349,8 +375,7 @@ def extracted_deps(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def watched_changes(s: SparkSession, d: str) -> DataFrame:
-    ignored = has_part(F.col("path"), ("build", "dist", "target", "vendor", "node_modules", "tests"))
-    return read(s, d, "file_changes").where(~ignored).select("change_id", "path", "status").distinct()
+    return watched(read(s, d, "file_changes"), ignored=(*WATCH_IGNORED_PARTS, "tests")).select("change_id", "path", "status").distinct()
 
 
 @query
@@ -391,6 +416,13 @@ def like_matches(s: SparkSession, d: str) -> DataFrame:
 # -- key/value rows, kept results, shown text -----------------------------------------------------
 
 
+@query
+def hit_json(s: SparkSession, d: str) -> DataFrame:
+    """Hits as JSON, with a source only where it is shown."""
+    chunks = read(s, d, "chunks").select("id", "path", "symbol", F.when(F.col("kind") == "struct", F.col("parent")).alias("source"))
+    return chunks.select("id", store.hit_json(["path", "symbol", "source"]).alias("hit")).distinct()
+
+
 @query
 def meta_after_put(s: SparkSession, d: str) -> DataFrame:
     meta = read(s, d, "meta")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from ..functions.text import DISPLAY_LANGUAGES, PARSED_LANGUAGES
+
 _LIVE = "(select * from symbols where gone_at is null)"
 _FILES = "(select path, max(struct_pack(a := indexed_at, b := sha256)).b as sha256, max(indexed_at) as indexed_at from files where path is not null group by path)"
-_WHOLE = "(select path, arg_min(source, id) as source, arg_min(body_sha256, id) as sha256 from chunks where kind = 'file' group by path)"
+_WHOLE = """(with c as (select distinct id, path, kind, line_start, symbol, parent, source, body_sha256 from chunks where path is not null and source is not null),
+ w as (select path, arg_min(source, id) as source, arg_min(body_sha256, id) as sha256 from c where kind = 'file' group by path),
+ p as (select path, string_agg(source, chr(10) order by line_start, id) as source from c where kind <> 'file' and (kind <> 'method' or parent is null
+  or not exists (select 1 from c k where k.path = c.path and k.kind <> 'method' and k.symbol = c.parent)) group by path)
+ select * from w union all select path, source, sha256(source) from p where path not in (select path from w))"""
 _NEWEST = "(select path, max(struct_pack(a := changed_at, b := change_id, c := status)).c as status from file_changes where path is not null group by path)"
-_CASES = "rs:Rust py:Python js:JavaScript ts:TypeScript tsx:TypeScript~(JSX) jsx:JavaScript~(JSX) go:Go java:Java c:C h:C cpp:C++ cc:C++ cxx:C++ hpp:C++ rb:Ruby php:PHP swift:Swift kt:Kotlin kts:Kotlin cs:C# scala:Scala sh:Shell bash:Shell zsh:Shell sql:SQL html:HTML htm:HTML css:CSS scss:CSS sass:CSS json:JSON yaml:YAML yml:YAML toml:TOML md:Markdown markdown:Markdown"
-_LANG = "case lower(regexp_extract(path, '([^.]*)$', 1)) " + " ".join("when '{}' then '{}'".format(*p.replace("~", " ").split(":")) for p in _CASES.split()) + " else 'Other' end"
+_LANG = "case lower(regexp_extract(path, '([^.]*)$', 1)) " + " ".join(f"when '{k}' then '{v}'" for k, v in DISPLAY_LANGUAGES.items()) + " else 'Other' end"
 _DIR = "split_part(path, '/', 1)"
-_PARSED = "rs:rust py:python js:javascript mjs:javascript cjs:javascript ts:typescript tsx:typescript go:go java:java c:c h:c cpp:cpp cc:cpp cxx:cpp hpp:cpp"
-_PARSED = "case regexp_extract(path, '([^.]*)$', 1) " + " ".join("when '{}' then '{}'".format(*p.split(":")) for p in _PARSED.split()) + " end"
+_PARSED = "case regexp_extract(path, '([^.]*)$', 1) " + " ".join(f"when '{k}' then '{v}'" for k, v in PARSED_LANGUAGES.items()) + " end"
 _KEYS = f"(select s.name, s.kind, s.path, count(*) as calls from {_LIVE} s join deps d on d.target_symbol = s.name and d.kind = 'calls' group by 1, 2, 3 order by 4 desc, 1, 2, 3 limit 10)"
 
 
@@ -40,8 +44,8 @@ def _bm25(phrases: list[list[str]], every: bool = True) -> str:
 _SEARCH = _bm25([["node"], ["window"]])
 
 
-def _edges(kind: str, a: str, b: str) -> str:
-    return f"""select a.name as a_name, a.path as a_path, b.name as b_name, b.path as b_path from deps d
+def _edges(kind: str, a: str, b: str, out: str = "a.name as a_name, a.path as a_path, b.name as b_name, b.path as b_path") -> str:
+    return f"""select {out} from deps d
  join {_LIVE} a on d.source_path = a.path and (d.source_symbol is null or d.source_symbol = a.name)
  join {_LIVE} b on d.target_symbol = b.name and (d.target_path is null or d.target_path = b.path)
  where d.kind = '{kind}' and {a} and {b}"""
@@ -76,7 +80,9 @@ SQL: dict[str, str] = {
     "pattern_rows_json": f"select to_json(struct_pack(a := struct_pack(name := name, path := path, parent := parent)))::varchar as row from {_LIVE} where kind = 'struct'",
     "key_symbols_top10": f"select * from {_KEYS}",
     "dead_code": f"select id, name, kind, path, line_start from {_LIVE} s where kind in ('function', 'method') and name not in ('main', 'new', 'default') and not regexp_matches(path, '(?i)test') and not exists (select 1 from deps d where d.kind = 'calls' and d.target_symbol = s.name)",
-    "entry_points": f"select name || ' (' || kind || ') in ' || path as label from {_LIVE} where name = 'main' or regexp_matches(name, '(?i)entry|start')",
+    "entry_points": f"select name || ' (' || kind || ') in ' || path as label from {_LIVE} where name = 'run' or regexp_matches(name, '(?i)init|entry|start')",
+    "dead_code_count": f"select count(*) as dead from {_LIVE} s where kind in ('function', 'method') and name not in ('main', 'new', 'default') and not regexp_matches(path, '(?i)test') and not exists (select 1 from deps d where d.kind = 'calls' and d.target_symbol = s.name)",
+    "pattern_returned": _edges("calls", "a.kind = 'method'", "b.kind = 'class'", "a.name as a_name, b.path as b_path, b.line_start as b_line_start"),
     "graph_nodes": f"select path || '::' || name as node_id, name, kind, path from {_LIVE}",
     "graph_edges": "select source_symbol as source, target_symbol as target, kind from deps where source_symbol is not null",
     "edges_between_names": f"select source_symbol as source, target_symbol as target, kind from deps where source_symbol in (select name from {_LIVE}) and target_symbol in (select name from {_LIVE})",
@@ -95,7 +101,10 @@ SQL: dict[str, str] = {
  and not regexp_matches(path, '(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|uv\.lock|Cargo\.lock|\.DS_Store)$')""",
     "bm25_all_words": f"select id, path, round(rank, 6) as score from {_SEARCH}",
     "bm25_any_word": f"select id, round(rank, 6) as score from {_bm25([['lease'], ['quota']], False)}",
-    "bm25_phrase": f"select id, round(rank, 6) as score from {_bm25([['slot', 'v2'], ['py']])}",
+    "bm25_phrase": f"select id, round(rank, 6) as score from {_bm25([['trace', 'span'], ['py']])}",
+    "bm25_kept_index": f"select id, path, round(rank, 6) as score from {_bm25([['to', 'text'], ['ledger']], False)}",
+    "index_terms": f"""with t as (select id, unnest({_terms('path')} || {_terms('header')} || {_terms('symbol')}) as term from (select distinct id, path, symbol, header from chunks))
+ select term, count(distinct id) as chunks, count(*) as occurrences from t group by 1""",
     "bm25_best_per_file": f"""with h as (select id, path, round(rank, 6) as score from {_SEARCH} order by 3, 1 limit 40)
  select id, path, score from (select *, row_number() over (partition by path order by score, id) as n from h) where n = 1 order by score, id limit 10""",
     "minmax_scores": f"with h as (select id, -rank as s from {_SEARCH}) select id, round((s - (select min(s) from h)) / greatest((select max(s) - min(s) from h), 1e-6), 5) as score from h",
@@ -127,8 +136,11 @@ SQL: dict[str, str] = {
  sha256(case when whole then source else array_to_string(l[a:z], chr(10)) end) as body_sha256 from b""",
     "body_hashes": "select id, sha256(source) as body_hash from chunks",
     "file_plan": f"select coalesce(a.path, b.path) as path, case when a.path is null then 'delete' when b.sha256 <> '' and b.sha256 = a.sha256 then 'skip' else 'index' end as action from {_WHOLE} a full join {_FILES} b on a.path = b.path",
-    "file_plan_counters": f"""with p as (select a.path as a, b.sha256 <> '' and b.sha256 = a.sha256 as same from {_WHOLE} a full join {_FILES} b on a.path = b.path)
- select count(*) as paths, count(*) filter (a is not null and same) as unchanged, count(*) filter (a is not null and same is not true) as to_index, count(*) filter (a is null) as deleted from p""",
+    "file_plan_counters": f"""with p as (select a.path as a, b.sha256 <> '' and b.sha256 = a.sha256 as same from {_WHOLE} a full join {_FILES} b on a.path = b.path),
+ o as (select path, symbol, body_sha256 from chunks where header <> '' and body_sha256 <> '' group by 1, 2, 3),
+ r as (select o.path is not null as reused from chunks c left join o on o.path is not distinct from c.path and o.symbol is not distinct from c.symbol and o.body_sha256 is not distinct from c.body_sha256)
+ select count(*) filter (a is not null) as found, count(*) filter (a is not null and same) as unchanged, count(*) filter (a is not null and same is not true) as to_index, count(*) filter (a is null) as deleted,
+ (select count(distinct path) from chunks where source is null) as errors, (select count(*) from r) as chunks, (select count(*) from r where reused) as reused, (select count(*) from r where not reused) as failed from p""",
     "chunk_reuse": """with o as (select path, symbol, body_sha256, arg_max(header, id) as header from chunks where kind <> 'method' and body_sha256 <> '' group by 1, 2, 3)
  select c.kind, count(*) as pending, count(o.header) as reused from chunks c left join o on o.path is not distinct from c.path and o.symbol is not distinct from c.symbol and o.body_sha256 is not distinct from c.body_sha256 group by 1""",
     "replaced_paths": f"""with n as {_NEWEST} select id, c.path, kind from chunks c where c.path not in (select path from n where status = 'deleted') and c.path not in (select path from n where status = 'modified')
@@ -150,6 +162,14 @@ SQL: dict[str, str] = {
     "like_matches": "select split_part(source_path, '/', 1) as repo, count(*) as n from deps where regexp_matches(target_symbol, '(?i)trace.s.*n') group by 1",
     "meta_after_put": "select key, value from meta where key <> 'schema_version' union all select 'schema_version', '4' union all select 'files.' || split_part(path, '/', 1), count(*)::varchar from files group by 1",
     "cached_results": f"""with h as (select id, path, rank as r from {_SEARCH} order by rank, id limit 10) select (row_number() over (order by r, id) - 1)::int as rank, id, path, round(round(-r, 3)::float::double, 2) as score from h""",
+    "capped_sources": """select id, (case when strlen(source) <= 240 then strlen(source) else list_max(list_filter(list_transform(range(0, 241), lambda n: strlen(left(source, n))), lambda b: b <= 240)) end)::int as n_bytes,
+ strlen(source) > 240 as truncated from chunks""",
+    "debounced_events": """with recursive e as (select event_id, event_type, ts from events where event_type is not null and ts is not null),
+ a as (select event_type, ts, arg_min(event_id, event_id) as event_id from e group by 1, 2),
+ n as materialized (select a.event_id, b.event_id as later from a asof join a b on a.event_type = b.event_type and a.ts <= b.ts - interval 300 second),
+ r as (select arg_min(event_id, ts) as event_id from a group by event_type union all select n.later from r join n using (event_id))
+ select event_id, event_type from e where event_id in (select event_id from r)""",
+    "hit_json": """select distinct id, '{"path":' || to_json(path)::varchar || ',"symbol":' || coalesce(to_json(symbol)::varchar, 'null') || case when kind = 'struct' and parent is not null then ',"source":' || to_json(parent)::varchar else '' end || '}' as hit from chunks""",
     "hit_lines": "select distinct id, rtrim(path || ':' || line_start || '-' || line_end || ' ' || coalesce(symbol, '')) as line from chunks where kind <> 'file'",
     "tool_queries": f"""select id, case kind when 'class' then '**/' || path when 'method' then nullif(trim(regexp_replace(replace('**/' || path, '**', ' '), '[*/.]', ' ', 'g')), '') end as search from {_LIVE}""",
     "change_rates_daily": "select strftime(changed_at::timestamp, '%Y-%m-%d') as day, split_part(path, '/', 1) as repo, status, count(*) as n from file_changes where path is not null and changed_at is not null group by 1, 2, 3",

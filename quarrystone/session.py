@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,15 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` with a checkpoint in the cluster's shared folder.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests, a
-    laptop) a folder of this machine is used. A lost executor cannot lose the written rows.
+    The folder is ``spark.checkpoint.dir`` of the session. Only a local master may do without (a
+    folder of this machine is used then); on a cluster a missing setting is an error. A lost
+    executor cannot lose the written rows.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager)
 

@@ -15,9 +15,9 @@ from ..sources.scan import WATCH_IGNORED_PARTS, has_part
 QUIET_MS = 500
 
 
-def watched(events: DataFrame, path: str = "path") -> DataFrame:
+def watched(events: DataFrame, path: str = "path", ignored: tuple[str, ...] = WATCH_IGNORED_PARTS) -> DataFrame:
     """Events of paths without an ignored component; null paths are dropped."""
-    return events.where(~has_part(F.col(path), WATCH_IGNORED_PARTS))
+    return events.where(~has_part(F.col(path), ignored))
 
 
 def debounce(events: DataFrame, key: str, at: str, event_id: str, quiet_ms: int = QUIET_MS, slice_seconds: int = 86_400) -> DataFrame:

@@ -87,7 +87,7 @@ def test_state_of_two_batches_is_that_of_one(spark):
     symbols = [("r/b.py", "f", 1, None), ("r/b.py", "g", 1, 4)]
     d, s, c, e = tables(spark, deps, symbols, [(1, "r/b.py", "added", 0), (2, "r/b.py", "deleted", 9)])
     refs = R.reference_rows(d, e).withColumn("refs", F.lit(1)).drop("dep_id", "at")
-    symbol, file = R.symbol_deltas(s), R.file_deltas(c)
+    symbol, file = R.symbol_deltas(s), R.state_deltas(R.file_state(c))
     once = R.key_totals(refs, symbol, file)
     twice = R.key_totals(R.key_totals(refs, symbol), file)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
@@ -100,3 +100,16 @@ def test_hot_key_is_cut_into_slices(spark):
     symbols = [("r/b.py", "f", 100, 200), ("r/b.py", "f", 1500, None)]
     want = {k for k in range(0, 3000, 10) if not (100 <= k < 200 or k >= 1500)}
     assert {k for t, k in found(spark, deps, symbols, [(1, "r/b.py", "added", 0)]) if t == "symbols"} == want
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_totals_add_up_wherever_the_changes_are_divided(spark, late):
+    changes = [(1, "r/a", "added", 0), (2, "r/b", "added", 1), (3, "r/a", "deleted", 2), (4, "r/b", "hash-mismatch", 3), (5, "r/a", "added", 4), (6, "r/b", "deleted", 5), (7, "r/c", "deleted", 6), (7, "r/c", "deleted", 6)]
+    if late:  # old rows arrive after newer ones
+        changes = changes[::-1]
+    frame = lambda rows: tables(spark, [], [], rows)[2]
+    for cut in range(len(changes) + 1):
+        first = R.file_state(frame(changes[:cut]))
+        second = R.file_state(frame(changes[cut:]), first)
+        totals = R.key_totals(R.state_deltas(first), R.state_deltas(second, first)).where("existing != 0")
+        assert [tuple(r) for r in totals.collect()] == [("files", "r/a", 0, 1)], cut
