@@ -12,19 +12,19 @@ from typing import NamedTuple
 _CUES = (
     "password passwd passphrase passwort kennwort pass pwd pw clave contrasena senha secret token tok key apikey cred creds credential "
     "credentials auth bearer login pin seed sig signature signing signer license licence identity sk priv private dsn material conn "
-    "mot passe motdepasse k1 k2 hmac salt pem code"
+    "mot passe motdepasse hmac salt pem code k1 k2"
 ).split()
 # Parts of names whose values are public, derived, encrypted or mere pointers.
 _PUBLIC = (
     "etag checksum digest hash sha integrity icon image img logo request trace span uuid guid commit rev revision build url uri href "
-    "font page model asset table lut verify public pub sealed encrypted masked name ref file path fingerprint version quote opener "
-    "tpl pattern banner count len ttl data body payload type field header label prefix format"
+    "font page model asset table lut verify public pub sealed encrypted masked name ref file path fingerprint version quote "
+    "pattern count len ttl data body payload type field header label prefix format"
 ).split()
 CUES, PUBLIC = frozenset(_CUES), frozenset(_PUBLIC)
 
+# Forms that hold no value: references, masks and empty values. Words that stand for a value are told by the number of their owners.
 _PLACEHOLDER = re.compile(
-    r"(?i)^(?:.*(?:redacted|change[-_]?me|replace[-_]?me|placeholder|your[-_]|example|dummy|fixme|todo|insert[-_]|set[-_]in|vault:|"
-    r"\$\{|\{\{|%\(|<[\w -]+>|\*{3}|x{4}|\.{3}).*|(.)\1*|\W*|none|null|true|false|test|secret|password|token|admin|root|undefined)$"
+    r"(?i)^(?:.*(?:vault:|\$\{|\{\{|%\(|<[\w -]+>|\*{3}|x{4}|\.{3}).*|(.)\1*|\W*|none|null|true|false|undefined)$"
 )
 _FRAME = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 KEY_BEGIN, KEY_END = re.compile("-----BEGIN " + _FRAME), re.compile("-----END " + _FRAME)
@@ -38,14 +38,14 @@ TOKEN = re.compile(
     r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}"
     r"|(?:AKIA|ASIA)[0-9A-Z]{16}"
     r"|xox[a-z]-[0-9A-Za-z-]{16,}"
-    r"|[0-9a-f]{8}-[0-9a-f]{8}-[0-9a-f]{8}-[0-9a-f]{8}[a-z]{3}"
-    r"|(?=[\w.-]*[A-Z])(?=[\w.-]*\d)[a-z][a-z0-9]{1,7}(?:[_-][a-z]{2,6})?[._-][A-Za-z0-9]{18,60}"
+    r"|(?=[\w.-]*[A-Z])(?=[\w.-]*\d)[A-Za-z][A-Za-z0-9]{1,7}(?:[_-][a-z]{2,6})?[._-][A-Za-z0-9]{18,}(?:[._-][A-Za-z0-9_-]{18,})?"
+    r"|AIza[\w-]{30,}"
     r")(?![\w/+-])"
 )
 _LITERAL = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _STRING = re.compile(_LITERAL)
 _JOINED = re.compile(rf"(?:{_LITERAL})(?:\s*(?:\+|\.|\\\n)?\s*(?:{_LITERAL}))*")
-_ASSIGN = re.compile(r"(?<![\w.-])(?:(?![A-Za-z_])[\w.-])*+(?P<name>[A-Za-z_][\w.-]*+)[\"']?\s*(?::\s*[&\w<>' ]{1,24}?\s*)?(?::=|=>|=|:)\s*(?P<call>[\w.]{0,40}\(\s*)?")
+_ASSIGN = re.compile(r"(?<![\w.-])(?:(?![A-Za-z_])[\w.-])*+(?P<name>[A-Za-z_][\w.-]*+)[\"']?\s*(?::\s*[&\w<>' ]{1,24}?\s*)?(?::=|=>|=|:)\s*(?P<call>[\w.]*+\(\s*)?")
 _BARE = re.compile(r"[^\s\"'`,;(){}<>|&][^\s\"'`,;(){}<>]*")
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"'`]*:(?P<v>[^\s@\"'`/]{3,})@")
 _FLAG = re.compile(r"(?:--?(?:password|passwd|pass|pwd|token|secret|api-?key|auth|key)(?:\s+|=)|(?<=\s)-u\s+[\w.-]+:|(?<=\s)-p\s*)(?P<v>[^\s\"'`;|]{6,})")
@@ -95,14 +95,14 @@ def is_structured(value: str) -> bool:
 
 def is_random(value: str) -> bool:
     """Long hexadecimal or mixed-case text without words: keys and digests alike."""
-    if re.fullmatch(r"[0-9a-fA-F]{32,128}", value):
+    if re.fullmatch(r"[0-9a-fA-F]{32,}", value):
         return True
-    return 20 <= len(value) <= 200 and bool(re.fullmatch(r"[\w+/=.~-]+", value)) and bool(re.search(r"\d", value)) and bool(re.search(r"[a-z]", value)) and bool(re.search(r"[A-Z]", value))
+    return len(value) >= 20 and bool(re.fullmatch(r"[\w+/=.~-]+", value)) and bool(re.search(r"\d", value)) and bool(re.search(r"[a-z]", value)) and bool(re.search(r"[A-Z]", value))
 
 
 def is_password(value: str) -> bool:
     """Something a person or a generator would set as a password: a mix of classes without blanks."""
-    if not 6 <= len(value) <= 200 or re.search(r"\s", value) or re.fullmatch(r"[\d.,:_-]+|[\w-]+\.(?:[a-z]{1,4})|[a-z_]+\(.*", value):
+    if len(value) < 6 or re.search(r"\s", value) or re.fullmatch(r"[\d.,:_-]+|[\w-]+\.(?:[a-z]{1,4})|[a-z_]+\(.*", value):
         return False
     if re.match(r"(?:https?|ftp|file)://|/|\./|[\w-]+/[\w-]+/|\{|\[|sha\d+[:-]|data:|ENC\[|W/", value):
         return False
@@ -171,7 +171,7 @@ def _line_hits(text: str, start: int, end: int) -> list[Hit]:
             public_places.append((start + m.start(), max(found[0][-1][1] if found else at, _END.search(line, m.end()).start() + start)))
         if found:
             spans, value = found
-            if not public and (is_value(value, named) or (named or m["call"]) and not is_placeholder(value) and re.fullmatch(r"[0-9a-fA-F]{32,128}", value)):
+            if not public and (is_value(value, named) or (named or m["call"]) and not is_placeholder(value) and re.fullmatch(r"[0-9a-fA-F]{32,}", value)):
                 add(spans, value, "named" if named else "form")
         elif named and not m["call"] and not _OPEN.search(line, m.end()):
             b = _BARE.match(text, at, end)
@@ -228,7 +228,7 @@ def credentials(text: str | None) -> list[Hit]:
     keys = []
     if "PRIVATE KEY" in text:
         for start, end, spans in private_keys(text):
-            hits.append(Hit(start, spans, "".join(text[a:b] for a, b in spans)[:200], "private key"))
+            hits.append(Hit(start, spans, "".join(text[a:b] for a, b in spans), "private key"))
             keys.append((start, end))
     lines = hot_lines(text)
     for start in lines:
@@ -250,6 +250,59 @@ def credentials(text: str | None) -> list[Hit]:
     return kept
 
 
+def shape(value: str) -> str | None:
+    """The form of a value that an issuer may have given it: its fixed prefix and the alphabet of what follows, or the
+    alphabets and lengths of three or more groups.
+
+    Random text without prefix or groups has none (digests and pieces of data look the same), nor have short values.
+    """
+    if len(value) < 16 or not re.fullmatch(r"[A-Za-z0-9_+/=~.-]+", value) or sum(map(str.isdigit, value)) < 2:
+        return None
+    kind = lambda s: "x" if re.fullmatch(r"[0-9a-f]+", s) else "a" if s.isalnum() else "s"
+    m = re.match(r"([A-Za-z][A-Za-z0-9]{0,7}(?:[_.-][a-z]{2,6})?[_.-])([A-Za-z0-9_-]{12,})$", value)
+    if m and re.search(r"\d", m[2]) and not re.search(r"[_-]", m[2]):
+        return m[1] + kind(m[2])
+    groups = re.split(r"[-.]", value)
+    return "-".join(f"{kind(g)}{len(g)}" for g in groups) if 2 < len(groups) < 7 and len(value) >= 24 else None
+
+
+_RUN = re.compile(r"(?<![\w+/=~.-])[A-Za-z0-9_-]{16,}(?![\w+/=~.-])")
+_PUBLIC_BEFORE = re.compile(r"([A-Za-z_][\w-]*)[\"']?\s*[:=]\s*[\"'`]?$")
+
+
+class Literal(NamedTuple):
+    """One literal of a text as the index keeps it."""
+
+    start: int
+    value: str
+    shape: str | None
+    role: str  # named: a place that names a credential; public: one that names something else; open: neither
+    pieces: int
+
+
+def literals(text: str | None) -> list[Literal]:
+    """All literals of a text: string contents and runs without blanks, each with its role. Null and empty texts have none."""
+    if not text:
+        return []
+    hits = credentials(text)
+    out = [Literal(h.start, h.value, None if h.kind == "private key" else shape(h.value), "named", len(h.spans) if h.kind != "private key" else -1) for h in hits]
+    known = {h.start for h in hits}
+    for m in _STRING.finditer(text):
+        value = m.group()[1:-1]
+        if len(value) >= 6 and m.start() + 1 not in known and not re.search(r"\s", value):
+            out.append(Literal(m.start() + 1, value, shape(value), _role_before(text, m.start() + 1), 1))
+            known.add(m.start() + 1)
+    for m in _RUN.finditer(text):
+        if m.start() not in known and (s := shape(m.group())):
+            out.append(Literal(m.start(), m.group(), s, _role_before(text, m.start()), 1))
+    return out
+
+
+def _role_before(text: str, at: int) -> str:
+    m = _PUBLIC_BEFORE.search(text, text.rfind("\n", 0, at) + 1 if at - text.rfind("\n", 0, at) < 100 else at - 100, at)
+    return "public" if m and _role(m[1])[1] else "open"
+
+
 def masked(value: str) -> str:
     """What stands in place of a value: zeros for digits of a hexadecimal value, which still decode."""
     return "0" * len(value) if re.fullmatch(r"[0-9a-fA-F]{32,}", value) else "REDACTED"
