@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from ..functions.text import first_segment
 from ..session import checkpointed
 from .repair import grammars, mix
 
-_TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?|(?:(?:[A-Za-z]+_+)+[A-Za-z]*|[A-Za-z][a-z]*(?:[A-Z][a-z]+)+)\d+\b|[A-Z]?[a-z]+|[A-Z]+(?![a-z])|_+\d*|[^\s\w]|\w")
+_TOKEN = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|`[^`]*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?|(?:(?:[A-Za-z]+_+)+[A-Za-z]*|[A-Za-z][a-z]*(?:[A-Z][a-z]+)+)\d+\b|[A-Z]?[a-z]+|[A-Z]+(?![a-z])|_+\d*|[^\s\w]|\w")
 _SCHEMA = (
     "path string, tokens int, chars int, long_lines double, spaces double, literal double, fresh double, reused double, counted double, stretch int, marked boolean, sizes array<int>, phrases array<bigint>"
 )
@@ -52,7 +53,8 @@ def _name(token: str) -> int:
 
 
 #: Numbers share a name, and so do strings and names of several words that end in a counter.
-NUMBER, COUNTER, STRING = _name("#"), _name("_#"), _name("''")
+NUMBER, COUNTER, STRING, COMMA = _name("#"), _name("_#"), _name("''"), _name(",")
+_DENSE = re.compile(r"[^\s\"'`]{38,}")  # a stretch without blanks in a string of any form
 #: A comment that says a tool wrote the file: what tools commonly put at the top, in the corpus's languages.
 _MARK = re.compile(
     r"(?i)@generated|auto-?generated|code generated by|machine[- ]written|generated (?:file|code|by)|was produced by|do not edit(?:\.|$| manually| by hand)|manual changes will be lost|automatisch erzeugt|nicht bearbeiten|généré automatiquement|ne pas modifier|generado autom|no editar"
@@ -60,8 +62,8 @@ _MARK = re.compile(
 _COMMENT = re.compile(r"^\s*(?:\d+:\s*)?(?://|#|/?\*|\"\"\"|--)")
 
 
-def _measures(text: str, names: dict[str, int]) -> tuple[list[int], dict]:
-    """Token names of a text and what its literals and lines say."""
+def _measures(text: str, names: dict[str, int]) -> tuple[list[int], list[str], dict]:
+    """Token names of a text, its literals (numbers, and packed or listed strings in groups of characters) and what its lines say."""
     out, literals, literal_chars, previous_end, token_count = [], [], 0, -1, 0
     for m in _TOKEN.finditer(text):
         token = m.group()
@@ -73,13 +75,17 @@ def _measures(text: str, names: dict[str, int]) -> tuple[list[int], dict]:
             if not glued:
                 literals.append(token)
                 literal_chars += len(token) + 2
-        elif token[-1].isdigit() and first not in "\"'":
+        elif token[-1].isdigit() and first not in "\"'`":
             out.append(COUNTER)  # a name of several words that ends in a counter, or such an end
-        elif first in "\"'" and len(token) > 1:
+        elif first in "\"'`" and len(token) > 1:
             out.append(STRING)
-            if len(token) >= 40 and " " not in token:
-                literals += [token[k : k + 4] for k in range(1, len(token) - 4, 4)]
-                literal_chars += len(token)
+            packed = _DENSE.findall(token) if len(token) >= 40 else ()
+            if packed:
+                literals += [x[k : k + 4] for x in packed for k in range(0, len(x) - 3, 4)]
+                literal_chars += sum(map(len, packed)) + 2
+            elif len(token) <= 40 and " " not in token and out[-2:-1] == [COMMA]:
+                literals.append(token)  # one of a list of short strings
+                literal_chars += len(token) + 2
         else:
             name = names.get(token)
             if name is None:
@@ -88,11 +94,10 @@ def _measures(text: str, names: dict[str, int]) -> tuple[list[int], dict]:
         previous_end = m.end()
     lines = text.split("\n")
     long_chars = sum(len(x) for x in lines if len(x) > 250)
-    pairs = len(literals) - 1
     head = [x for x in lines[:12] if _COMMENT.match(x)]
-    return out, {
+    return out, literals, {
         "tokens": token_count, "chars": len(text), "long_lines": (long_chars - literal_chars) / max(1, len(text)), "spaces": sum(map(text.count, " \t")) / max(1, len(text)),
-        "literal": literal_chars / max(1, len(text)) if pairs > 40 else 0.0, "fresh": len(set(zip(literals, literals[1:], strict=False))) / pairs if pairs > 40 else 0.0,
+        "literal": literal_chars / max(1, len(text)),
         "marked": any(_MARK.search(x) for x in head),
     }
 
@@ -101,7 +106,8 @@ def grammar_features(texts: DataFrame) -> DataFrame:
     """Grammar and literal measures of files (path, chunks), with the hashes of their phrases.
 
     reused: share of tokens that rules used 4 times or more derive; counted: the same for rules that
-    hold the counter of a name; stretch: the longest row of tokens that such rules derive; fresh: share of neighbouring literals that no rule can shorten.
+    hold the counter of a name; stretch: the longest row of tokens that such rules derive; literal: share of characters in numbers
+    and in packed or listed strings; fresh: the size of the grammar of these literals by their number (1: no rule shortens them).
     Phrases are cut where the hash of two neighbouring tokens is least, so equal content gives equal
     phrases wherever it stands: they are the rules that a grammar of the whole corpus would share.
     """
@@ -119,10 +125,11 @@ def grammar_features(texts: DataFrame) -> DataFrame:
 
 
 def _batch(paths: list[str], groups: list[list[dict]], names: dict[str, int]) -> pa.RecordBatch:
-    rows, symbols, owner = [], [], []
+    rows, symbols, owner, literals = [], [], [], []
     for k, chunks in enumerate(groups):
-        out, row = _measures(whole_text(chunks), names)
+        out, held, row = _measures(whole_text(chunks), names)
         symbols.append(np.array(out, np.uint64))
+        literals.append(np.array([_literal_name(x) for x in held], np.uint64))
         owner.append(np.full(len(out), k, np.int64))
         rows.append(row)
     symbol, own = np.concatenate(symbols), np.concatenate(owner)
@@ -132,16 +139,29 @@ def _batch(paths: list[str], groups: list[list[dict]], names: dict[str, int]) ->
     counted = np.bincount(own, weights=g["counted"], minlength=n)
     stretch = _stretches(g["counted"], own, n)
     sizes = [s.size for s in symbols]
+    fresh = _incompressible(literals)
     phrase_owner, phrase_size, phrase_hash = _phrases(symbol, own)
     cuts = np.searchsorted(phrase_owner, np.arange(n + 1))
     for k, row in enumerate(rows):
         total = max(1, sizes[k])
-        row |= {"path": paths[k], "reused": float(covered[k] / total), "counted": float(counted[k] / total), "stretch": int(stretch[k])}
+        row |= {"path": paths[k], "fresh": float(fresh[k]), "reused": float(covered[k] / total), "counted": float(counted[k] / total), "stretch": int(stretch[k])}
         row |= {"sizes": phrase_size[cuts[k] : cuts[k + 1]].tolist(), "phrases": phrase_hash[cuts[k] : cuts[k + 1]].astype(np.int64).tolist()}
     schema = pa.schema([("path", pa.string()), ("tokens", pa.int32()), ("chars", pa.int32()), *[(c, pa.float64()) for c in ("long_lines", "spaces", "literal", "fresh", "reused", "counted")], ("stretch", pa.int32()), ("marked", pa.bool_()), ("sizes", pa.list_(pa.int32())), ("phrases", pa.list_(pa.int64()))])
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def _literal_name(literal: str) -> int:
+    return zlib.crc32(literal.encode("utf-8", "surrogatepass"))
+
+
+def _incompressible(literals: list[np.ndarray]) -> np.ndarray:
+    """Per file the length of the Re-Pair grammar of its literals by their number: the final sequence and two symbols a rule."""
+    sizes = np.array([x.size for x in literals])
+    own = np.repeat(np.arange(len(literals)), sizes)
+    g = grammars(np.concatenate(literals), own, np.zeros(len(own), bool))
+    return (np.bincount(g["own"], minlength=len(sizes)) + 2 * np.bincount(g["rules"], minlength=len(sizes))) / np.maximum(1, sizes)
+
+
 def _stretches(marked: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     """Per owner the length of its longest row of marked tokens."""
     out = np.zeros(n, np.int64)
@@ -197,7 +217,7 @@ def origins(chunks: DataFrame, files: DataFrame) -> DataFrame:
     shared, long = F.coalesce("shared", F.lit(0.0)), F.coalesce("long", F.lit(0))
     generated = (F.col("counted") >= 0.5) & (F.col("stretch") >= 30) | (F.col("stretch") >= 60) | F.col("marked") & ((F.col("counted") >= 0.1) | (F.col("reused") >= 0.2))
     origin = (
-        F.when((F.col("literal") >= 0.5) & (F.col("fresh") >= 0.6), "data")
+        F.when((F.col("literal") >= 0.75) & (F.col("fresh") >= 0.6), "data")
         .when((F.col("long_lines") >= 0.5) & (F.col("spaces") < 0.12), "minified")
         .when(generated, "generated").when((shared >= 0.75) & (long >= 60) | (shared >= 0.9) & (long >= 24), "vendored")
     )

@@ -1,7 +1,7 @@
 """Re-Pair grammars of many token sequences at once.
 
 Re-Pair replaces the most frequent pair of neighbouring symbols by a new symbol until no pair repeats.
-Here all sequences of a batch go through together: in each round every pair that is repeated within
+Here all sequences of a batch go through together, to the end of all repeats: in each round every pair that is repeated within
 its sequence and at least as frequent as both overlapping pairs is replaced. A rule is named by a hash
 of what it derives, so equal rules of different sequences have equal names.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 
-ROUNDS = 12
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -34,14 +33,14 @@ def _counts(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def grammars(symbols: np.ndarray, owner: np.ndarray, special: np.ndarray, uses: int = 4, least: int = 5, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def grammars(symbols: np.ndarray, owner: np.ndarray, special: np.ndarray, uses: int = 4, least: int = 5) -> dict[str, np.ndarray]:
     """Which terminals stand in much-used rules, and the final sequences of all owners.
 
     ``symbols`` are 64-bit names of terminals, ``owner`` tells the sequence of each (ascending) and
     ``special`` marks terminals of interest. ``reused`` marks the terminals that a rule derives which
     is used ``uses`` times or more in its sequence and is ``least`` terminals long or longer, at any
     level of the grammar; ``counted`` the same for rules with a special terminal. ``symbol``, ``own``
-    and ``length`` (terminals it derives) describe the final sequences.
+    and ``length`` (terminals it derives) describe the final sequences; ``rules`` has the owner of every rule.
     """
     n = len(symbols)
     symbol, own = symbols.astype(np.uint64), owner.astype(np.int64)
@@ -49,9 +48,8 @@ def grammars(symbols: np.ndarray, owner: np.ndarray, special: np.ndarray, uses:
     salt = mix(own.astype(np.uint64), np.full(n, 7, np.uint64))
     seen = np.concatenate([[0], np.cumsum(special)])
     reused, counted = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    for _ in range(rounds):
-        if len(symbol) < 2:
-            break
+    rules = [np.zeros(0, np.int64)]
+    while len(symbol) > 1:  # until no pair repeats
         pair = mix(symbol[:-1], symbol[1:])
         within = own[:-1] == own[1:]
         count = np.where(within, _counts(np.where(within, pair ^ salt[:-1], np.arange(len(pair), dtype=np.uint64))), 0)
@@ -75,6 +73,7 @@ def grammars(symbols: np.ndarray, owner: np.ndarray, special: np.ndarray, uses:
         if not len(at):
             break
         total = length[at] + length[at + 1]
+        rules.append(own[at][np.unique(pair[at] ^ salt[at], return_index=True)[1]])
         often = (count[at] >= uses) & (total >= least)
         first, last = begin[at], begin[at] + total
         np.add.at(reused, first[often], 1)
@@ -88,4 +87,4 @@ def grammars(symbols: np.ndarray, owner: np.ndarray, special: np.ndarray, uses:
         symbol[at] = pair[at]
         length[at] = total
         symbol, own, length, salt, begin = symbol[keep], own[keep], length[keep], salt[keep], begin[keep]
-    return {"reused": np.cumsum(reused)[:n] > 0, "counted": np.cumsum(counted)[:n] > 0, "symbol": symbol, "own": own, "length": length}
+    return {"reused": np.cumsum(reused)[:n] > 0, "counted": np.cumsum(counted)[:n] > 0, "symbol": symbol, "own": own, "length": length, "rules": np.concatenate(rules)}

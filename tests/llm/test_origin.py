@@ -72,3 +72,26 @@ def test_only_configuration_and_documentation_are_left_out(spark, rows):
     texts = {"a/x/bundle.min": MINIFIED, "a/x/gen.sql": GENERATED, "a/x/gen.KTS": GENERATED, "a/x/c.TOML": TABLE, "a/x/.env": TABLE, "a/x/notes.rst": GENERATED}
     df = spark.createDataFrame([(k, p, "file", 1, t) for k, (p, t) in enumerate(texts.items())], "id long, path string, kind string, line_start int, source string")
     assert rows(origin.origins(df, df.select("path"))) == [("a/x/bundle.min", "minified"), ("a/x/gen.KTS", "generated"), ("a/x/gen.sql", "generated")]
+
+
+def test_grammar_goes_to_the_end_of_repeats():
+    doubled = np.array([1, 2], np.uint64)
+    for _ in range(15):  # 2**16 symbols, one rule a level
+        doubled = np.concatenate([doubled, doubled])
+    g = grammars(doubled, np.zeros(len(doubled), np.int64), np.zeros(len(doubled), bool))
+    assert len(g["symbol"]) <= 3 and g["length"].sum() == len(doubled) and len(g["rules"]) <= 20
+
+
+def test_data_in_strings_of_any_form_and_constants_by_hand(spark):
+    import base64
+
+    noise = lambda n, seed: base64.b64encode(random.Random(seed).randbytes(n)).decode()
+    words = ["".join(random.Random(k).choices("abcdefghijklmnop", k=5)) for k in range(3000)]
+    texts = {
+        "a/x/one.py": f'BLOB = "{noise(3000, 1)}"\n', "a/x/triple.py": 'BLOB = """\n' + "\n".join(noise(57, k) for k in range(60)) + '\n"""\n', "a/x/tick.js": f"const b = `{noise(2000, 3)}`;\n",
+        "a/x/list.go": "var w = []string{" + ", ".join(f'"{w}"' for w in words) + "}\n", "a/x/same.c": "int t[] = {" + "1, 0, " * 900 + "};\n",
+        "a/x/hand.py": "\n".join(f'# the {w} of a lease, as agreed with the owners of the queue\n{w.upper()}_LIMIT = {k}\nNAME_{w.upper()} = "{w}"' for k, w in enumerate(words[:60])),
+    }
+    df = spark.createDataFrame([(k, p, "file", 1, t) for k, (p, t) in enumerate(texts.items())], "id long, path string, kind string, line_start int, source string")
+    got = {r["path"]: r["origin"] for r in origin.origins(df, df.select("path")).collect()}
+    assert {p for p, o in got.items() if o == "data"} == {"a/x/one.py", "a/x/triple.py", "a/x/tick.js", "a/x/list.go"} and "a/x/hand.py" not in got
