@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .tokens import TOKEN_PATTERN, token_counts
 
-OPEN_BINS = 256
-CONTAINERS_PER_GROUP = 4000
+OPEN_BINS = 64
+CONTAINERS_PER_GROUP = 256  # what one task fills; half a million tokens at the usual capacity
 _SCHEMA = "container_id bigint, doc_id bigint, part int, n_tokens bigint"
 
 
@@ -71,7 +71,7 @@ def pack(items: DataFrame, capacity: int, open_bins: int = OPEN_BINS, per_group:
     """
     items = checkpointed(items.where("doc_id is not null and n_tokens > 0").select("doc_id", "n_tokens"))
     total = items.agg(F.sum("n_tokens").alias("n")).collect()[0]["n"] or 0
-    groups = max(1, round(total / (capacity * per_group)))
+    groups = max(1, -(-total // (capacity * per_group)))
     dealt = items.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:

@@ -49,6 +49,16 @@ def p2_pieces(s: SparkSession, d: str) -> DataFrame:
     return _pieces(s, d)
 
 
+@query
+def p2_reassembled(s: SparkSession, d: str) -> DataFrame:
+    """Pieces without their overlaps put together again: bytes and hash of each oversized text, and the largest piece's excess over the limit."""
+    own = F.substring(F.col("piece").cast("binary"), F.col("overlap_bytes") + 1, F.col("n_bytes")).cast("string")
+    listed = F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own"))))
+    text = F.array_join(F.transform(listed, lambda p: p["own"]), "")
+    whole = _pieces(s, d).groupBy("chunk_id").agg(text.alias("t"), F.max(F.greatest(F.col("n_bytes") - 6000, F.col("overlap_bytes") - 240, F.lit(0))).alias("excess"))
+    return whole.select("chunk_id", F.octet_length("t").alias("n_bytes"), F.sha2("t", 256).alias("sha256"), "excess")
+
+
 # -- problem 6: containers ------------------------------------------------------------------------
 
 
@@ -64,6 +74,21 @@ def p6_containers(s: SparkSession, d: str) -> DataFrame:
     return _packed(s, d)[0]
 
 
+@query
+def p6_items(s: SparkSession, d: str) -> DataFrame:
+    """Tokens and parts of every packed document."""
+    packed, _ = _packed(s, d)
+    return packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("parts"))
+
+
+@query
+def p6_overfull(s: SparkSession, d: str) -> DataFrame:
+    """One row: tokens packed, and containers that hold more than their capacity."""
+    packed, capacity = _packed(s, d)
+    filled = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return filled.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > capacity).alias("overfull"))
+
+
 @query
 def p6_report(s: SparkSession, d: str) -> DataFrame:
     return packing.pack_report(*_packed(s, d))

@@ -34,7 +34,7 @@ def cost(data, limit, overlap, ends):
     mean = len(data) / -(-(len(data) - overlap) // (limit - overlap))
     total, start = 0.0, 0
     for e in ends:
-        first = split.overlap_start(data, start, overlap) if start else 0
+        first = int(split.overlap_starts(data, np.array([start]), overlap)[0])
         if e - first > limit:
             return float("inf")
         total += price[e] + split.IMBALANCE * ((e - start - mean) / mean) ** 2
@@ -70,6 +70,15 @@ def test_one_very_long_line_and_limits():
         split.cuts(b"x" * 100, 50, 30)
 
 
+def test_long_lines_take_seconds_not_minutes():
+    import time
+
+    began = time.time()
+    check(b'x1=f(a,"b c d");y=[1,2,3];' * 80_000, 6000, 240)
+    check(b"a\n" * 500_000, 6000, 240)
+    assert time.time() - began < 15
+
+
 def test_operator(spark):
     text = "".join(f"line {k}\n" for k in range(100))
     rows = [(1, text, 10, 109), (1, text, 10, 109), (2, "short", 1, 1), (3, None, 1, 1), (4, "", None, None), (5, text, 50, 2), (6, text, None, None), (7, "x" * 300, 1, 1), (8, "x" * 301, 0, 0)]
