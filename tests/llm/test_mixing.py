@@ -41,6 +41,26 @@ def test_source_that_is_too_small_gives_what_it_has(spark):
     assert out["small"] == 10 * 2 * 4 and abs(out["big"] + 80 - 0.5 * 4040) < 60
 
 
+def test_memberships_are_soft_for_every_document(spark):
+    targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
+    extra = spark.createDataFrame([(50_000 + k, "omega psi chi " * 5, "newsletter") for k in range(300)] + [(60_000 + k, "omega psi chi " * 5, None) for k in range(50)], "doc_id long, text string, source string")
+    members, listed = mixing.memberships(docs(spark).unionByName(extra), targets)
+    got = {r["doc_id"]: r for r in members.collect()}
+    assert all(abs(sum(r["p"]) - 1) < 1e-6 and len(r["p"]) == len(TARGETS) + 1 for r in got.values())
+    assert got[50_000]["p"][-1] > 0.9 and got[60_000]["p"][-1] > 0.5 and got[30_000]["p"][2] > 0.5
+    fit = mixing.fit_rates(members, listed, 0.5)
+    assert fit.converged and np.all(np.abs(fit.expected[:3] - fit.goal[:3]) <= 0.01 * fit.goal.sum())
+    chosen, shares = mixing.mixture(docs(spark).unionByName(extra), targets, 0.5)
+    assert not any(50_000 <= r["doc_id"] < 60_050 for r in chosen.collect())
+    assert {(r["converged"], r["steps"] > 0) for r in shares.collect()} == {(True, True)}
+
+
+def test_memberships_of_given_documents_are_no_labels(spark, data):
+    members, _ = mixing.memberships(read(spark, data, "documents"), read(spark, data, "mix_targets"))
+    top = [max(r["p"]) for r in members.collect()]
+    assert np.mean([0.3 < t < 0.99999 for t in top]) > 0.5
+
+
 def test_empty(spark):
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     chosen, shares = mixing.mixture(docs(spark).where("false"), targets, 0.5)
