@@ -63,9 +63,13 @@ _PLACES = tuple(
     re.compile(p)
     for p in (
         r"://[^\s:/@\"'`]*:[^\s@\"'`/]{3,}@", r"--?(?:password|passwd|pass|pwd|token|secret|api-?key|auth|key)[\s=]|-u\s|-p", r"(?:Bearer|Basic|Token|ApiKey)\s",
-        r"[\"'`]\s*(?:\+|\.|\\\n)?\s*[\"'`]", r"(?<![0-9a-fA-F])[0-9a-fA-F]{32}", TOKEN.pattern, _COMMENT_CUE.pattern,
+        r"[\"'`]\s*(?:\+|\.|\\\n)?\s*[\"'`]",
     )
 )
+# every token and hexadecimal key holds such a run, with a digit in it or right before it unless it begins in one of these ways
+_LONG, _ISSUED = re.compile(r"[A-Za-z0-9_-]{16,}"), ("eyJ", "AKIA", "ASIA", "xox", "AIza")
+_COMMENT_LINE = re.compile(r"(?m)^(?:\s*(?:\d+:\s*)?(?://|#|--|\*|/\*|;)|[A-Z][\w ]+ [`\w])[^\n]*")
+_DIGIT = re.compile(r"\d")
 # an unquoted member chain, as in code
 _MEMBER = re.compile(r"[A-Za-z_$]+\d?(?:[.:\[\]]+[A-Za-z_$]+)+[:\[\]]*")
 
@@ -141,6 +145,10 @@ def hot_lines(text: str) -> list[int]:
     at = {m.start(1) for m in _NAME.finditer(text) if _role(m[1])[0]}
     for pattern in _PLACES:
         at.update(m.start() for m in pattern.finditer(text))
+    for m in _LONG.finditer(text):
+        if _DIGIT.search(text, max(0, m.start() - 16), m.end()) or m.group().lstrip("_-").startswith(_ISSUED):
+            at.add(m.start())
+    at.update(c.start() for m in _COMMENT_LINE.finditer(text) if (c := _COMMENT_CUE.search(text, m.start(), m.end())))
     return sorted({text.rfind("\n", 0, k) + 1 for k in at})
 
 
