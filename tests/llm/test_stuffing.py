@@ -57,3 +57,31 @@ def test_empty_and_long(spark):
     df = spark.createDataFrame([(1, "merge bot, " * 30_000, "en")], "doc_id long, text string, lang string")
     assert stuffing.stuffed_pages(df.where("false")).count() == 0
     assert stuffing.page_features(df).count() == 1
+
+
+ITALIAN = (
+    "Il parser rilegge ogni file quando la tabella manca e noi abbiamo spostato il riquadro perché diventava troppo grande. "
+    "Per favore non cancellare il nodo finché la verifica è aperta, altrimenti la ricerca si ferma dopo pochi secondi. "
+    "Ogni volta che il servizio scrive una riga, il registro della coda viene controllato e poi copiato in un altro archivio. "
+)
+
+
+def test_a_language_without_a_list_has_function_words_of_its_own(spark):
+    parts = [x + ". " for x in ITALIAN.split(". ") if x]
+    prose = [(k, (parts[k % 3] + parts[(k + 1) % 3]) * (3 if k % 3 == 0 else 1), "it") for k in range(31)]
+    stuffed = [(100, "cloud build economico, hosting veloce, cloud build, hosting veloce, " * 8, "it"), (101, STUFFED["links"], "it-IT")]
+    df = spark.createDataFrame(prose + stuffed, "doc_id long, text string, lang string")
+    words = stuffing.function_words(df)
+    assert {"il", "la", "e"} <= words["it"] and "hosting" not in words["it"] and set(words) == {"it"}
+    assert {r["doc_id"] for r in stuffing.stuffed_pages(df).collect()} == {100, 101}
+
+
+def test_features_do_not_depend_on_the_batch():
+    texts = [*STUFFED.values(), *FINE.values(), "x", "Uno due tre."]
+    assert stuffing.features(texts) == [stuffing.features([t])[0] for t in texts]
+
+
+def test_limits_of_few_pages_are_near_those_of_all(spark):
+    rows = [(k, PROSE, "en") for k in range(40)] + [(99, "palabra " * 30, "es")]
+    limits = {r["lang"]: r for r in stuffing.calibrated(stuffing.page_features(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()}
+    assert abs(limits["es"]["low_function"] - limits["en"]["low_function"]) < 0.05 and limits["es"]["high_word"] <= 0.3
