@@ -1,73 +1,309 @@
-"""Small grammars that tell whether a text is well-formed in a language.
+"""Grammars that tell whether a text is well-formed in a language.
 
-A text is read as a string of one letter per token. Innermost brackets are checked and replaced by one
-letter each, until a flat sequence of statements is left; what stands between two brackets is thus
-checked once, by regular expressions, and equal contents are checked once only. Names are not resolved.
+A text becomes a string of one letter per token. A rule is a function of such a string and a position that
+gives the position behind what it matches, or -1; choices are ordered, and nothing goes back into what was
+matched. What holds no other rule is one regular expression; the next letter tells which alternatives can
+match at all; and where a recursive rule was tried before, its result is kept. Names are not resolved.
 
-Letters: i name, d literal, u operator with or without left operand, o binary operator, n not, c ++ or
---, = assignment, P B X a reduced (), [] or {}; other letters are keywords, see the tables.
+Rules are written as ``name = alternatives``: 'x' is a token, ID a name, LIT a literal, a bare word another
+rule; ( ) | * + ? are as usual, (= ...) and (! ...) look ahead, and N is a line end that may end a statement.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from functools import lru_cache
-
-_BRACKET = re.compile(r"\([^(){}\[\]]*\)|\[[^(){}\[\]]*\]|\{[^(){}\[\]]*\}")
-_NAME = r"[^\W\d]\w*"
-_NUMBER = r"\.?\d(?:[\w.]|(?<=[eEpP])[+-])*"
-_OPS = {
-    "++": "c", "--": "c", "=>": "a", "->": "r", "::": "q", "...": "s", "..=": "o", "..": "o", "?.": ".", "??": "o", "<-": "u", ":=": "=", "**": "o",
-    "===": "o", "!==": "o", "==": "o", "!=": "o", "<=": "o", ">=": "o", "&&": "u", "||": "o", "&^": "o", "<<": "o",
-    **{f"{x}=": "=" for x in "+ - * / % & | ^ << >> >>> ** ?? && ||".split()},
-    "=": "=", "+": "u", "-": "u", "*": "u", "&": "u", "~": "u", "!": "n", "/": "o", "%": "o", "^": "u", "|": "v",
-    **{x: x for x in "<>.,;:?()[]{}@"},
-}
-_OP = "|".join(re.escape(x) for x in sorted(_OPS, key=len, reverse=True))
-_STRING = r"\"(?:[^\"\\\n]|\\[\s\S])*\""
-_CHAR = r"'(?:[^'\\\n]|\\[\s\S])*'"
-_NESTED = r"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/)*\*/"  # comments in comments
-_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
+import sys
+from collections.abc import Callable
+
+from .grammar_rules import C, CPP, GO, JAVA, JAVASCRIPT, RUST, TYPESCRIPT
+
+Rule = Callable[[str, int], int]
+_ITEM = re.compile(r"'([^']+)'|([A-Za-z_]\w*)|\([=!]|\S")
+_NAME = re.compile(r"[^\W\d]|[$_]")
+_END = "\x00"  # behind the last letter
+DEPTH = 20_000  # calls within each other, enough for some 1,000 nested brackets
+
+
+class Node:
+    """A part of a rule: its kind, its parts, the letters it can begin with and whether it can be empty."""
+
+    def __init__(self, kind: str, parts: list[Node] = (), value: str = ""):
+        self.kind, self.parts, self.value = kind, list(parts), value
+        self.first: set[str] = set()
+        self.empty = kind in ("=", "!", "*", "?")
+        self.flat: str | None = None  # the same as a regular expression, without other rules
+
+
+class Grammar:
+    """Functions of the rules of a language."""
+
+    def __init__(self, text: str, letters: Callable[[str], str]):
+        self.letters = letters
+        sources = dict(re.split(r"\s+=\s+", rule, maxsplit=1) for rule in re.split(r"\n(?=\w+\s+=\s)", text.strip()))
+        self.nodes = {name: self._parsed([m.group() for m in _ITEM.finditer(body)], sources) for name, body in sources.items()}
+        changed = True
+        while changed:  # what every part can begin with, to the fixed point
+            changed = any([self._spread(n) for n in self.nodes.values()])
+        self._flatten()
+        self.kept: dict[str, dict[int, int]] = {}
+        self.made: dict[str, list] = {name: [None] for name in self.nodes}
+        for name, node in self.nodes.items():
+            self.made[name][0] = self._remembered(name, self._function(node))
+
+    def match(self, flat: str) -> bool:
+        for kept in self.kept.values():
+            kept.clear()
+        return self.made["unit"][0](flat + _END, 0) == len(flat)
+
+    def _parsed(self, items: list[str], rules: dict[str, str]) -> Node:
+        def choice() -> Node:
+            found = [sequence()]
+            while items and items[0] == "|":
+                items.pop(0)
+                found.append(sequence())
+            return found[0] if len(found) == 1 else Node("|", found)
+
+        def sequence() -> Node:
+            found = []
+            while items and items[0] not in ("|", ")"):
+                item = items.pop(0)
+                if item in ("(", "(=", "(!"):
+                    inner = choice()
+                    items.pop(0)
+                    node = inner if item == "(" else Node(item[1], [inner])
+                elif item[0] == "'" or item in ("ID", "LIT", "MACRO", "LIFETIME", "N", "ANY"):
+                    node = Node("set", value=self.letters(item))
+                else:
+                    if item not in rules:
+                        raise ValueError(f"no rule {item}")
+                    node = Node("rule", value=item)
+                while items and items[0] in ("*", "+", "?"):
+                    node = Node(items.pop(0), [node])
+                found.append(node)
+            return found[0] if len(found) == 1 else Node("seq", found)
+
+        return choice()
+
+    def _spread(self, node: Node) -> bool:
+        changed = any([self._spread(p) for p in node.parts])
+        before = len(node.first), node.empty
+        if node.kind == "set":
+            node.first |= set(node.value)
+        elif node.kind == "rule":
+            node.first |= self.nodes[node.value].first
+            node.empty |= self.nodes[node.value].empty
+        elif node.kind == "seq":
+            for p in node.parts:
+                node.first |= p.first if p.kind not in ("=", "!") else set()
+                if not p.empty:
+                    break
+            node.empty = all(p.empty for p in node.parts)
+        elif node.kind not in ("=", "!"):
+            for p in node.parts:
+                node.first |= p.first
+            node.empty |= any(p.empty for p in node.parts) if node.kind == "|" else node.parts[0].empty
+        return changed or before != (len(node.first), node.empty)
+
+    def _flatten(self) -> None:
+        """Marks the parts without rules; a rule that is such a part is put in place of its name."""
+        changed = True
+        while changed:
+            changed = any([self._marked(n) for n in self.nodes.values()])
+
+    def _marked(self, node: Node) -> bool:
+        changed = any([self._marked(p) for p in node.parts])
+        if node.flat is None:
+            if node.kind == "set":
+                node.flat = f"[{node.value}]" if len(node.value) > 1 else node.value
+            elif node.kind == "rule":
+                node.flat = self.nodes[node.value].flat
+            elif all(p.flat is not None for p in node.parts):
+                inner = [p.flat for p in node.parts]
+                node.flat = "".join(inner) if node.kind == "seq" else f"(?>{'|'.join(inner)})" if node.kind == "|" else f"(?{node.kind}{inner[0]})" if node.kind in "=!" else f"(?>{inner[0]}){node.kind}+"
+            changed |= node.flat is not None
+        return changed
+
+    def _remembered(self, name: str, rule: Rule) -> Rule:
+        node = self.nodes[name]
+        if node.flat is not None or name == "unit":
+            return rule
+        kept = self.kept.setdefault(name, {})
+
+        def remembered(s: str, i: int) -> int:
+            j = kept.get(i)
+            if j is None:
+                j = kept[i] = rule(s, i)
+            return j
+
+        return remembered
+
+    def _function(self, node: Node) -> Rule:
+        if node.flat is not None:
+            return _expression(node)
+        kind = node.kind
+        if kind == "rule":
+            made = self.made[node.value]
+            return lambda s, i: made[0](s, i)
+        if kind == "seq":
+            return self._sequence(node)
+        if kind == "|":
+            return self._choice(node)
+        inner, first, empty = self._function(node.parts[0]), frozenset(node.parts[0].first), node.parts[0].empty
+        if kind == "=":
+            return lambda s, i: i if inner(s, i) >= 0 else -1
+        if kind == "!":
+            return lambda s, i: -1 if inner(s, i) >= 0 else i
+        if kind == "?":
+
+            def maybe(s: str, i: int) -> int:
+                if s[i] not in first:
+                    return i
+                j = inner(s, i)
+                return i if j < 0 else j
+
+            return maybe
+
+        def repeated(s: str, i: int) -> int:
+            while s[i] in first:
+                j = inner(s, i)
+                if j <= i:
+                    return i
+                i = j
+            return i
+
+        if kind == "*":
+            return repeated
+
+        def once(s: str, i: int) -> int:
+            if not empty and s[i] not in first:
+                return -1
+            i = inner(s, i)
+            return repeated(s, i) if i >= 0 else -1
+
+        return once
+
+    def _sequence(self, node: Node) -> Rule:
+        parts, run = [], []
+        for p in [*node.parts, None]:
+            if p is not None and p.flat is not None:
+                run.append(p)
+                continue
+            if run:
+                whole = Node("seq", run)
+                whole.flat = "".join(x.flat for x in run)
+                parts.append(_expression(run[0] if len(run) == 1 else whole))
+                run = []
+            if p is not None:
+                parts.append(self._function(p))
+        if len(parts) == 2:
+            a, b = parts
+
+            def both(s: str, i: int) -> int:
+                i = a(s, i)
+                return b(s, i) if i >= 0 else -1
+
+            return both
+        steps = tuple(parts)
+
+        def all_of(s: str, i: int) -> int:
+            for step in steps:
+                i = step(s, i)
+                if i < 0:
+                    return -1
+            return i
+
+        return all_of
+
+    def _choice(self, node: Node) -> Rule:
+        made = [(p, self._function(p)) for p in node.parts]
+        letters = set().union(*(p.first for p in node.parts))
+        always = tuple(f for p, f in made if p.empty)
+        table = {x: tuple(f for p, f in made if p.empty or x in p.first) for x in letters}
+
+        def one_of(s: str, i: int) -> int:
+            for f in table.get(s[i], always):
+                j = f(s, i)
+                if j >= 0:
+                    return j
+            return -1
+
+        return one_of
+
+
+def _expression(node: Node) -> Rule:
+    if node.kind == "set":
+        held = node.value
+        return lambda s, i: i + 1 if s[i] in held else -1
+    match = re.compile(node.flat).match
+
+    def found(s: str, i: int) -> int:
+        m = match(s, i)
+        return m.end() if m else -1
+
+    return found
 
 
 class Language:
-    """A lexer and the statements of one language."""
-
-    def __init__(self, name: str, lexer: str, keywords: dict[str, str], statements: list[str], groups: dict[str, list[str]], ends: str = "", prefixes: str = r"[fl]P|wP|e", skip: str = "", objects: bool = False):
-        self.name, self.objects = name, objects
-        words = {w: letter for letter, listed in keywords.items() for w in listed.split()}
-        self.words = words
-        self.tokens = re.compile(lexer).findall
-        self.skip = re.compile(skip) if skip else None
-        self.ends = re.compile(ends) if ends else None
-        self.prefixes = re.compile(prefixes)
-        self.statement = re.compile("|".join(f"(?:{s})" for s in statements))
-        self.groups = {k: [re.compile(p) for p in v] for k, v in groups.items()}
+    """The lexer and the grammar of one language."""
+
+    def __init__(self, spec: dict):
         self.letters: dict[str, str] = {}
-        self.fits = lru_cache(200_000)(self._fits)
+        self.tokens = re.compile(spec["lexer"]).findall
+        self.skip = re.compile(spec["skip"])
+        self.literal, self.constant = re.compile(spec["literal"]), re.compile(spec.get("constant", r"(?!)"))
+        self.lifetime = re.compile(spec.get("lifetime", r"(?!)"))
+        self.hard = spec["hard"].split()
+        # words that only some places reserve are names elsewhere
+        self.soft = [w for w in dict.fromkeys(re.findall(r"'([A-Za-z_]\w*)'", spec["rules"])) if w not in self.hard]
+        self.ends, self.prepare = spec.get("ends"), spec.get("prepare")
+        for word in [*self.soft, *self.hard, *re.findall(r"'([^']+)'", spec["rules"])]:
+            self._letter(word)
+        self.grammar = Grammar(spec["rules"], self._set)
+        if self.ends:
+            before, after = ("".join(self._class(w) for w in side.split()) for side in self.ends)
+            self.line_end = re.compile(f"(?<=[{before}])N+(?![N{after}])")
+        self.known: dict[str, str] = {}
+
+    def _letter(self, token: str) -> str:
+        if token not in self.letters:
+            self.letters[token] = chr(0xE000 + len(self.letters))
+        return self.letters[token]
+
+    def _class(self, word: str) -> str:
+        return {"ID": "iM" + "".join(map(self._letter, self.soft)), "LIT": "d"}.get(word) or self._letter(word)
+
+    def _set(self, item: str) -> str:
+        """The letters that an item of a rule stands for."""
+        if item[0] == "'":
+            return self._letter(item[1:-1])
+        if item == "ANY":
+            brackets = {self._letter(x) for x in "()[]{}"}
+            return "".join(x for x in [*"idMLN", *self.letters.values()] if x not in brackets)
+        return self._class("ID") if item == "ID" else {"LIT": "d", "MACRO": "M", "LIFETIME": "L", "N": "N"}[item]
 
     def letter(self, token: str) -> str:
-        first = token[0]
-        if self.skip and self.skip.match(token):
-            return ""
-        if token in self.words:
-            return self.words[token]
-        if token in _OPS:
-            return _OPS[token]
+        """One letter for a token, none for what is skipped, NUL for what no text may hold."""
+        if token in self.letters:
+            return self.letters[token]
         if token == "\n":
-            return "N"
-        if first.isalpha() or first == "_" or first == "$":
-            return "d" if token[-1] in "\"'#" and len(token) > 1 else "i"
-        if first.isdigit() or (first == "." and len(token) > 1) or (len(token) > 1 and first in "\"'`/"):
+            return "N" if self.ends else ""
+        if self.skip.match(token):
+            return ""
+        if self.literal.match(token):
             return "d"
-        return "\x00"
+        if self.lifetime.match(token):
+            return "L"
+        if _NAME.match(token):
+            return "M" if self.constant.match(token) else "i"
+        return _END
 
-    def classes(self, text: str) -> str:
-        known = self.letters
-        if len(known) > 300_000:
+    def parses(self, text: str) -> bool:
+        if self.prepare:
+            text = self.prepare(text)
+        known, out = self.known, []
+        if len(known) > 300_000:  # of at most 40 characters each
             known.clear()
-        out = []
         for token in self.tokens(text):
             letter = known.get(token)
             if letter is None:
@@ -76,220 +312,21 @@ class Language:
                     known[token] = letter
             out.append(letter)
         flat = "".join(out)
-        if self.ends:
-            flat = self.ends.sub(";", flat)
-        return flat.replace("N", "")
-
-    def sequence(self, content: str) -> bool:
-        """Whether ``content`` is a row of statements; else and the like need one before and one after."""
-        at, need = 0, False
-        while at < len(content):
-            m = self.prefixes.match(content, at)
-            if m:
-                if m.group() == "e" and (need or not at or content[at - 1] not in "X;"):
-                    return False
-                need = True
-            else:
-                m = self.statement.match(content, at)
-                if not m or m.end() == at:
-                    return False
-                need = False
-            at = m.end()
-        return not need
-
-    def _fits(self, group: str) -> str:
-        """The letter that stands for a well-formed bracket, or nothing. Y is a {} that only a value can be."""
-        content = group[1:-1]
-        if group[0] == "{" and self.sequence(content):
-            return "X"
-        for k, p in enumerate(self.groups[group[0]]):
-            if p.fullmatch(content):
-                return "Y" if self.objects and group[0] == "{" and not k else {"(": "P", "[": "B", "{": "X"}[group[0]]
-        return ""
-
-    def parses(self, text: str) -> bool:
-        flat = self.classes(text)
-        if "\x00" in flat:
+        if _END in flat:
             return False
-        bad, count = False, 1
-
-        def reduce(m: re.Match) -> str:
-            nonlocal bad
-            letter = self.fits(m.group())
-            bad |= not letter
-            return letter
-
-        while count and not bad:
-            flat, count = _BRACKET.subn(reduce, flat)
-        return not bad and not re.search(r"[(){}\[\]]", flat) and self.sequence(flat)
-
-
-def _expression(atom: str, post: str, pre: str, between: str) -> str:
-    """A flat expression with ternaries; atomic, so a wrong text costs no backtracking over its length."""
-    term = f"(?:{pre})*(?:{atom})(?:{post})*+"
-    simple = f"(?>{term}(?:(?:{between}){term})*+)"
-    return f"(?>(?:{simple}\\?{simple}:)*{simple})"
-
-
-def _c_family(name: str, plus: bool, java: bool) -> Language:
-    args = r"<[TiMqB.,?<>&uKdv]*>"
-    path = (r"q?i(?:qi)*" if plus else r"i(?:\.i)*" if java else "i") + (f"(?:{args}(?:qi)*)?" if plus or java else "")
-    kind = rf"(?>(?:M|@i(?:\.i)*P?)*(?:T+|D?{path})(?:M|B)*)" if java else rf"(?>M*(?:T+|D?{path})M*)"
-    star = "" if java else "[uM]*"
-    new = rf"V(?:T|{path})(?:PX?|B*X?)|" if java else ""
-    lam = r"BP?M?(?:r(?:T|i(?:qi)*)u*)?X|" if plus else ""
-    atom = rf"{new}{lam}sPX|i|d|P|T|X"
-    post = r"\.[iD]|q[iV]|ri|P|B|c" + (rf"|{args}(?=P|X|qi)" if plus else "")
-    expr = _expression(atom, post, r"[unc]|P(?=[idPnVTX])", r"[ouvr]|<|>{1,3}" if java else r"[ouv]|<|>{1,2}")
-    value = rf"{expr}(?:={expr})*+"
-    declarator = rf"{star}i(?:B|P)*(?:={value}|X)?"
-    item = rf"(?:\.i=)?{value}" if not java else value
-    parameter = rf"{kind}(?:{star}s?i?B*|{star}B*)(?:={expr})?" if not java else rf"{kind}s?iB*"
-    generic = rf"(?:{args})?"
-    statements = [
-        r";", r"X", rf"R(?:{value})?;", r"ki?;", r"i:(?!:)", rf"(?:C{expr}(?:,{expr})*|Z)[:r]", r"xXwP;", r"tP?X(?:hPX)*(?:yX)?", r"sPX",
-        rf"{kind}{declarator}(?:,{declarator})*;", rf"{value}(?:,{value})*;",
-    ]
-    if java:
-        statements += [
-            r"mM?i(?:\.(?:i|u))*;", r"(?:@i(?:\.i)*P?)+(?=[M@DTi])", rf"M*@?Di{generic}P?(?:K{path}(?:,{path})*)*X",
-            rf"M*{generic}(?:{kind})?iP(?:K{path}(?:,{path})*)?(?:X|Z{expr};|;)", r"M+P?X", r"(?:iP?X?,)*iP?X?[,;]*(?=$|[M@TD;])",
-        ]
-    else:
-        statements += [
-            rf"M*Di?(?::M*{path}(?:,M*{path})*)?X(?:{star}i(?:B|={value})*(?:,{star}i)*)?;", rf"(?:{kind})?{star}(?:i|qi)*(?:q?n?u?i|O[^P]{{1,3}})P(?:P)?M*(?:r{kind}u*)?(?::iP(?:,iP)*)?(?:X|=[dZ];|;)",
-            r"MdX", r"M?d?M:", rf"(?:z<[^;]*?>)(?={'[MDTiz]'})", r"Gi?(?:qi)*X", r"U[^;X]*;", rf"{kind}{star}PP;", r"M*DiX?;",
-        ]
-    for_header = rf"(?:(?:{kind}{declarator}(?:,{declarator})*|{value}(?:,{value})*)?;(?:{value})?;(?:{value}(?:,{value})*)?)"
-    in_parens = ["", rf"{item}(?:,{item})*,?", rf"{parameter}(?:,{parameter})*(?:,s)?", for_header, rf"{kind}", "s", rf"(?:{kind}{declarator};?)+"]
-    if java or plus:
-        in_parens += [rf"{kind}{star}[iB]:{expr}", rf"{kind}(?:v{path})*i"]
-    return Language(
-        name,
-        rf"{_COMMENT}|\"\"\"[\s\S]*?\"\"\"|(?:u8|[LuUR])?{_STRING}|{_CHAR}|{_NAME}|{_NUMBER}|{_OP}|\S" if java else rf"{_COMMENT}|(?m:^[ \t]*\#(?:[^\n\\]|\\[\s\S])*)|(?:u8|[LuUR])?{_STRING}|{_CHAR}|{_NAME}|{_NUMBER}|{_OP}|\S",
-        {
-            "f": "if synchronized" if java else "if", "l": "for", "w": "while", "e": "else", "R": "return throw yield" if java else "return throw goto" if plus else "return goto",
-            "k": "break continue", "s": "switch", "C": "case", "Z": "default", "x": "do", "K": "extends implements throws permits", "t": "try", "h": "catch", "y": "finally",
-            "T": "void int long short byte char float double boolean" if java else "void int long short char float double signed unsigned bool" + (" auto" if plus else " _Bool"),
-            "M": "public private protected static final abstract native transient volatile strictfp" if java else "const static extern inline volatile register restrict typedef" + (" public private protected virtual explicit constexpr mutable noexcept override friend thread_local" if plus else ""),
-            "D": "class interface enum" if java else "struct enum union" + (" class" if plus else ""), "m": "import package" if java else "",
-            **({"o": "instanceof", "V": "new"} if java else {"z": "template", "G": "namespace", "U": "using", "O": "operator"} if plus else {}),
-        } | ({"u": "new delete"} if plus else {}),
-        statements, {"(": in_parens, "[": ["", expr] if java or not plus else ["", rf"{expr}", r"[u=,is]*"], "{": [rf"{item}(?:,{item})*,?", rf"i(?:={expr})?(?:,i(?:={expr})?)*,?"]},
-        skip=_COMMENT if java else _COMMENT + r"|[ \t]*\#[ \t]*(?:include|define|if|ifdef|ifndef|else|elif|endif|pragma|undef|error|line|warning)\b",
-    )
-
-
-def _script(name: str, typed: bool) -> Language:
-    simple = r"(?:P(?:a[iu])?|[iTM]|d|[XY]|u(?=[iTd])|u)(?:\.i)*(?:<(?:(?!==)[^;(){}])*?>)?B*"
-    kind = rf"v?{simple}(?:[vu]{simple})*(?:o{simple})?"
-    note = rf"(?:[?n]?:(?:ii(?=[iTud]))?(?:{kind}))?" if typed else ""
-    generic = r"(?:<(?:(?!==)[^;(){}])*?>)?" if typed else ""
-    atom = rf"M*Fu?i?{generic}P{note}X|Di?(?:Ki)?X|M?P{note}(?=a)|Mi(?=a)|i|d|P|B|[XY]"
-    post = r"\.[iDFMKZCRtmyGUfelwkshTod]|P|B|c|d" + (rf"|z(?:{kind})|n(?![idPBX(])|{'<(?:(?!==)[^;(){}])*?>(?=P)'}" if typed else "")
-    expr = _expression(atom, post, r"[uncs]", r"[ouva]|<|>{1,3}")
-    value = rf"{expr}(?:={expr})*+"
-    target = rf"[iBXY]n?{note}"
-    key = r"(?:[iDFMKZCRtmyGUfelwkshTdo]|B|d)"
-    parameter = rf"(?:@iP?)*(?:M)*s?{target}(?:={expr})?"
-    entry = rf"(?:{key}:{value}|s?{value}|M*(?:i(?=[id]))?u?{key}{generic}P{note}X)"
-    statements = [
-        r";", rf"R(?:{value}(?:,{value})*)?;?", r"ki?;?", rf"(?:C{expr}|Z):", r"xXwP;?", r"tX(?:hP?X)?(?:yX)?", r"sPX", rf"M*t{target}(?:={value})?(?:,{target}(?:={value})?)*(?:;|$)",
-        rf"M*Fu?i{generic}P{note}(?:X|;)", rf"(?:@i(?:\.i)*P?)*M*Di?{generic}(?:K{expr}{generic}(?:,i{generic})*)*X", r"m(?:y?(?:i|X|uzi)(?:,(?:X|uzi))*i)?d(?:;|$)", r"M+(?:X|u)(?:zi)?(?:id)?(?:;|$)",
-        rf"(?:@iP?)*M*(?:i(?=[id]))?u?{key}{generic}P{note}X", rf"M*{key}[?n]?{note}(?:={value})?(?:;|$)" if typed else rf"M*{key}(?:={value})(?:;|$)", rf"M*{value}(?:,{value})*(?:;|$)", r"i:(?=[lwx])", r"X",
-    ]
-    if typed:
-        statements += [rf"M*yi{generic}=(?:{kind})(?:;|$)", r"M*Gi(?:\.i)*X", rf"M*(?:i\??|B)?{generic}P?:(?:{kind})[;,]?"]
-    in_parens = [
-        "", rf"s?{value}(?:,s?{value})*,?", rf"{parameter}(?:,{parameter})*,?", rf"(?:t{target}(?:={value})?(?:,{target}(?:={value})?)*|{value}(?:,{value})*)?;(?:{value})?;(?:{value}(?:,{value})*)?",
-        rf"t?[iBXY]o{expr}",
-    ] + ([rf"{kind}(?:,{kind})*"] if typed else [])
-    regex = r"(?:(?<=[=(,:;!&|?{}])|(?<=[=(,:;!&|?{}] )|(?<=return ))/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
-    return Language(
-        name,
-        rf"{_COMMENT}|{regex}|{_STRING}|{_CHAR}|`(?:[^`\\]|\\[\s\S])*`|[#$]?[^\W\d][\w$]*|\$[\w$]*|{_NUMBER}|{_OP}|\n|\S",
-        {
-            "f": "if with", "l": "for", "w": "while", "e": "else", "R": "return throw", "k": "break continue debugger", "s": "switch", "C": "case", "Z": "default", "x": "do", "K": "extends implements",
-            "t": "let const var", "h": "catch", "y": "finally" + (" type" if typed else ""), "F": "function", "D": "class" + (" interface enum" if typed else ""), "m": "import",
-            "M": "export default async static" + (" public private protected readonly declare abstract" if typed else ""), "o": "in of instanceof", "u": "new typeof void delete await yield" + (" keyof" if typed else ""), "z": "as satisfies" if typed else "as",
-            **({"G": "namespace module"} if typed else {}),
-        },
-        statements, {"(": in_parens, "[": ["", rf"(?:s?{value})?(?:,(?:s?{value})?)*", *([r"i:[iT]|iin?"] if typed else [])], "{": [rf"{entry}(?:,{entry})*,?", *([rf"(?:M*(?:{key}|B)\??{generic}P?(?::(?:{kind}))?[;,]?)+"] if typed else []), r"(?:i|Z)(?:zi)?(?:,(?:i|Z)(?:zi)?)*,?"]},
-        objects=True, ends=r"(?<=[idP)B\]X}Rkc])N+(?![N.?:o=,)\];<>avhyz]|[uc](?!i)|e|\{)", skip=_COMMENT,
-    )
-
-
-def _rust() -> Language:
-    inner = r"[iquMPBTdvn,=r+:s<>oFI]*"
-    kind = rf"(?>[uM]*(?:q?i(?:qi)*(?:q?<{inner}?>)?(?:qi(?:<{inner}?>)?)*|P|B|n|FP(?:r[uM]*i)?)(?:ui(?:qi)*)*)"
-    wide = rf"[uM]*(?:q?i(?:q?i|q?<{inner}>)*|P|B|n|FP(?:r[uM]*i)?)(?:ui(?:q?i|<{inner}>)*)*"
-    block = r"(?:M?X)"
-    atom_flat = r"i(?:qi)*n[PB]|q?i|d|P|B|o(?=$|[,;)\]])"
-    post_flat = rf"\.(?:i|d|M)|q(?:i|<{inner}>)|P|B|\?|z{kind}"
-    closure = rf"v[^v;X]*v(?:r{wide})?"
-    condition = _expression(atom_flat, post_flat, rf"[uMno]|R|k|{closure}", r"[ouv=]|<|>{1,2}|L[^=]*=")
-    branch = rf"f(?:L[^=;X]*=)?{condition}X(?:ef(?:L[^=;X]*=)?{condition}X)*(?:eX)?"
-    loop = rf"s{condition}X|l[^;X]*?I{condition}X|w(?:L[^=;X]*=)?{condition}X|xX|M?X"
-    atom = rf"{branch}|{loop}|i(?:qi)*nX|(?:q?i(?:qi)*X)|{atom_flat}"
-    expr = _expression(atom, post_flat, rf"[uMno]|R|k|{closure}", r"[ouv]|<|>{1,2}")
-    value = rf"{expr}(?:={expr})*+"
-    pattern = r"v?[uM]*(?:q?i(?:qi)*[PX]?|P|B|[un]?d|o)(?:[vo][uM]*(?:i(?:qi)*[PX]?|[un]?d|P|B))*"
-    where = r"(?:W[^X;]*)?"
-    generic = rf"(?:<{inner}>)?"
-    visible = r"(?:@B)*(?:MP?)*"
-    statements = [
-        r";", rf"{visible}U[iquMX]*(?:zi)?;", rf"{visible}d?Fi{generic}P(?:r{wide})?{where}(?:X|;)", rf"{visible}Di{generic}(?::[^X;]*)?(?:{where}X|P{where};|;)", rf"{visible}J{generic}n?{wide}(?:l{wide})?{where}X",
-        rf"{visible}L{pattern}(?::{wide})?(?:={expr}(?:eX)?)?;", rf"{visible}M?i:{wide}(?:={expr})?;", rf"{visible}yi{generic}(?::[^=;]*)?(?:={wide})?;", r"@B", rf"{visible}Gi(?:X|;)",
-        rf"(?:{branch}|{loop}|i(?:qi)*nX)(?![.?ou=])", rf"{value};", rf"{value}$", rf"[Rk](?:{expr})?(?:;|$)",
-    ]
-    arm = rf"(?:@B)*{pattern}(?:f{condition})?a(?:X,?|{value}(?:,|$))"
-    field = rf"(?:@B)*(?:MP?)*i(?::{value}|:{wide})?"
-    parameter = rf"(?:@B)*{pattern}:{wide}|[uM]*i"
-    return Language(
-        "rust",
-        rf"{_NESTED}|b?r\#+\"[\s\S]*?\"\#+|b?r?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:u\{{[^}}]*\}}|x..|.))'|'[a-z_]\w*|\#!?(?=\[)|{_NAME}|\d(?:[\w]|\.(?=\d))*|{_OP}|\S",
-        {
-            "f": "if", "e": "else", "s": "match", "l": "for", "w": "while", "x": "loop", "R": "return", "k": "break continue", "F": "fn", "D": "struct enum trait union", "J": "impl", "L": "let", "U": "use", "y": "type",
-            "M": "pub mut const static unsafe async move ref dyn extern", "W": "where", "z": "as", "I": "in", "G": "mod", "@": "# #!",
-        },
-        statements,
-        {"(": ["", rf"{value}(?:,{value})*,?", rf"(?:{parameter})(?:,(?:{parameter}))*,?", rf"(?:(?:MP?)*{wide})(?:,(?:MP?)*{wide})*,?", rf"{pattern}(?:,{pattern})*,?", r"i"], "[": ["", rf"{expr}(?:,{expr})*,?", rf"{expr};{expr}", rf"{wide}(?:;{expr})?", r"i[iqdP=,]*"], "{": [rf"(?:{arm})*", rf"{field}(?:,{field})*(?:,o{expr})?,?", r"(?:(?:@B)*i[PX]?(?:=d)?(?:,|$))*", r"(?:i|q|u|X|,|zi)*"]},
-        prefixes=r"(?!x)x", skip=_NESTED + r"|'[a-z_]\w*$",
-    )
-
-
-def _go() -> Language:
-    kind = r"(?>(?:[uH]|iB(?=[iuBDHF])|B)*(?:i(?:\.i)*B?|FP(?:i|P|u+i)?|D[X]))"
-    atom_flat = rf"FP(?:{kind}|P)?X|B{kind}(?=[XP])|iB(?=[iuBDF]){kind}(?=[XP])|i|d|P"
-    post_flat = r"\.(?:i|P)|P|B"
-    condition = _expression(atom_flat, post_flat, r"[un]", r"[ouv]|<|>{1,2}")
-    expr = _expression(atom_flat + "|uX", post_flat + "|X", r"[un]", r"[ouv]|<|>{1,2}")
-    several = rf"{expr}(?:,{expr})*+"
-    simple = rf"{several}(?:={several}|c|u{expr})?"
-    simple_flat = rf"{condition}(?:,{condition})*+(?:=N?{condition}(?:,{condition})*|c)?"
-    branch = rf"f(?:{simple_flat};)?{condition}X(?:ef(?:{simple_flat};)?{condition}X)*(?:eX)?;?"
-    result = rf"(?:P|{kind})?"
-    parameter = rf"(?:i(?:,i)*)?s?{kind}"
-    statements = [
-        r";", r"mi;", r"m(?:P|[i.]?d);", rf"FP?iB?P{result}X?;?", rf"yiB?=?{kind};?", r"[yt]P;?", rf"ti(?:,i)*(?:{kind})?(?:={several})?(?:;|$)", branch, r"lX;?", rf"l{condition}X;?", rf"l(?:{simple_flat})?;(?:{condition})?;?(?:{simple_flat})?X;?",
-        rf"l(?:{condition}(?:,{condition})*=)?Q{condition}X;?", rf"s(?:{simple_flat};)?(?:{condition})?X;?", rf"(?:C(?:{simple}|{kind}(?:,{kind})*)|Z):;?", rf"g{expr}(?:;|$)", rf"R(?:{several})?(?:;|$)", r"ki?(?:;|$)", r"i:", rf"{simple}(?:;|$)", r"X;?",
-        rf"i(?:,i)*{kind}d?(?:;|$)", rf"u?i(?:\.i)*d?(?:;|$)", rf"iP{result}(?:;|$)",
-    ]
-    item = rf"(?:(?:{expr}|X):)?(?:{expr}|X)"
-    return Language(
-        "go",
-        rf"{_COMMENT}|{_STRING}|{_CHAR}|`[^`]*`|{_NAME}|{_NUMBER}|{_OP}|\n|\S",
-        {"f": "if", "e": "else", "l": "for", "Q": "range", "s": "switch select", "C": "case", "Z": "default", "R": "return", "k": "break continue fallthrough goto", "F": "func", "D": "struct interface", "y": "type", "t": "var const", "m": "package import", "g": "go defer", "H": "chan"},
-        statements,
-        {"(": ["", rf"{several}s?,?;?", rf"{parameter}(?:,{parameter})*,?", rf"{kind}(?:,{kind})*", r"(?:[i.]?d;?)*", rf"(?:i(?:,i)*(?:{kind})?(?:={several})?;?)*", r"y", rf"(?:iB?=?{kind};?)*"], "[": ["", rf"{condition}", rf"(?:{condition})?:(?:{condition})?(?::{condition})?", r"s", rf"{kind}(?:,{kind})*", rf"(?:i(?:,i)*{kind}(?:v{kind})*,?)+"], "{": [rf"{item}(?:,{item})*,?;?"]},
-        ends=r"(?<=[id)\]}Rkc])N+", prefixes=r"(?!x)x", skip=_COMMENT,
-    )
-
-
-LANGUAGES = {
-    "java": _c_family("java", False, True), "c": _c_family("c", False, False), "cpp": _c_family("cpp", True, False),
-    "javascript": _script("javascript", False), "typescript": _script("typescript", True), "rust": _rust(), "go": _go(),
-}
+        if self.ends:
+            flat = self.line_end.sub("\x01", flat).replace("N", "").replace("\x01", "N")
+        usual = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(usual, DEPTH))
+        try:
+            return self.grammar.match(flat)
+        except RecursionError:  # nested too deeply to be told
+            return True
+        finally:
+            sys.setrecursionlimit(usual)
+
+
+LANGUAGES = {n: Language(s) for n, s in (("java", JAVA), ("c", C), ("cpp", CPP), ("javascript", JAVASCRIPT), ("typescript", TYPESCRIPT), ("rust", RUST), ("go", GO))}
 RANKING = {
     "python": "def self elif None True False import from async", "java": "public private protected class void int long var String new final", "c": "include struct const char int long void size_t define",
     "cpp": "std include auto const string namespace class void", "javascript": "const let function export import from of", "typescript": "const export string number any unknown function interface",
@@ -318,11 +355,16 @@ def parses(text: str, language: str) -> bool:
 
 
 def verdict(text: str, language: str) -> str:
-    """``ok``, the language the text really is in (languages ranked by their usual words), or ``corrupt``."""
+    """``ok``, the language the text really is in, or ``corrupt``.
+
+    A text that its own language accepts is ok whatever else accepts it. All other grammars are tried in
+    order of their usual words in the text, whether they share any with it or not; the first that accepts
+    it names the language. A text nested deeper than the grammars can follow counts as well-formed.
+    """
     if parses(text, language):
         return "ok"
     words = set(re.findall(r"[A-Za-z_]\w*", text))
     for other in sorted(_RANKING, key=lambda k: -len(words & _RANKING[k]) / len(_RANKING[k])):
-        if other != language and words & _RANKING[other] and parses(text, other):
+        if other != language and parses(text, other):
             return other
     return "corrupt"

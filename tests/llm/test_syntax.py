@@ -1,4 +1,5 @@
 import pytest
+from snippets import INVALID, VALID
 
 from quarrystone.llm import syntax
 from quarrystone.llm.grammars import parses, verdict
@@ -42,3 +43,28 @@ def test_operator(spark, rows):
     assert rows(told.select("path", "verdict")) == [("r/a.py", "corrupt"), ("r/b.go", "python"), ("r/e.rs", "ok")]
     assert rows(syntax.rates(told).select("language", "files", "invalid", "wrong_extension")) == [("go", 1, 1, 1), ("python", 1, 1, 0), ("rust", 1, 0, 0)]
     assert syntax.file_verdicts(chunks.where("false"), files).count() == 0
+
+
+@pytest.mark.parametrize("language,text", VALID)
+def test_ordinary_code_is_well_formed(language, text):
+    assert parses(text, language)
+
+
+@pytest.mark.parametrize("language,text", INVALID)
+def test_broken_code_is_not(language, text):
+    assert not parses(text, language)
+
+
+@pytest.mark.parametrize("language", ["java", "c", "cpp", "javascript", "typescript", "rust", "go"])
+def test_long_and_deep_texts_end_soon(language):
+    import time
+
+    began = time.time()
+    parses("x = " + "(" * 400 + "1" + ")" * 400 + ";", language)
+    parses("{" * 3000, language)
+    parses("f(a, b);\n" * 20_000, language)
+    assert time.time() - began < 20
+
+
+def test_short_foreign_text_is_named():
+    assert verdict("x := f(1)\n", "java") == "go" and verdict("let x: u8 = y?;", "python") == "rust"
