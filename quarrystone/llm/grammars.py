@@ -3,7 +3,8 @@
 A text becomes a string of one letter per token. A rule is a function of such a string and a position that
 gives the position behind what it matches, or -1; choices are ordered, and nothing goes back into what was
 matched. What holds no other rule is one regular expression; the next letter tells which alternatives can
-match at all; and where a recursive rule was tried before, its result is kept. Names are not resolved.
+match at all; and the results of the rules that lead to others of their kind are kept per position. Names
+are not resolved.
 
 Rules are written as ``name = alternatives``: 'x' is a token, ID a name, LIT a literal, a bare word another
 rule; ( ) | * + ? are as usual, (= ...) and (! ...) look ahead, and N is a line end that may end a statement.
@@ -22,6 +23,7 @@ Rule = Callable[[str, int], int]
 _ITEM = re.compile(r"'([^']+)'|([A-Za-z_]\w*)|\([=!]|\S")
 _NAME = re.compile(r"[^\W\d]|[$_]")
 _END = "\x00"  # behind the last letter
+KEPT = frozenset("expr assignment type bound statement block qname specs exprpath pattern targs nexpr noblock typename".split())  # rules that are tried again at a place
 DEPTH = 20_000  # calls within each other, enough for some 1,000 nested brackets
 
 
@@ -48,7 +50,7 @@ class Grammar:
         self._flatten()
         self.kept: dict[str, dict[int, int]] = {}
         self.made: dict[str, list] = {name: [None] for name in self.nodes}
-        for name, node in self.nodes.items():
+        for name, node in reversed(self.nodes.items()):  # callers stand before what they call
             self.made[name][0] = self._remembered(name, self._function(node))
 
     def match(self, flat: str) -> bool:
@@ -126,7 +128,7 @@ class Grammar:
 
     def _remembered(self, name: str, rule: Rule) -> Rule:
         node = self.nodes[name]
-        if node.flat is not None or name == "unit":
+        if name not in KEPT or node.flat is not None:
             return rule
         kept = self.kept.setdefault(name, {})
 
@@ -144,7 +146,7 @@ class Grammar:
         kind = node.kind
         if kind == "rule":
             made = self.made[node.value]
-            return lambda s, i: made[0](s, i)
+            return made[0] or (lambda s, i: made[0](s, i))
         if kind == "seq":
             return self._sequence(node)
         if kind == "|":
@@ -244,6 +246,21 @@ def _expression(node: Node) -> Rule:
     return found
 
 
+class _Letters(dict):
+    """The letters of the tokens met so far, at most 300,000 of at most 40 characters each."""
+
+    def __init__(self, letter: Callable[[str], str]):
+        self.letter = letter
+
+    def __missing__(self, token: str) -> str:
+        letter = self.letter(token)
+        if len(token) < 40:
+            if len(self) > 300_000:
+                self.clear()
+            self[token] = letter
+        return letter
+
+
 class Language:
     """The lexer and the grammar of one language."""
 
@@ -263,7 +280,7 @@ class Language:
         if self.ends:
             before, after = ("".join(self._class(w) for w in side.split()) for side in self.ends)
             self.line_end = re.compile(f"(?<=[{before}])N+(?![N{after}])")
-        self.known: dict[str, str] = {}
+        self.known = _Letters(self.letter)
 
     def _letter(self, token: str) -> str:
         if token not in self.letters:
@@ -301,17 +318,7 @@ class Language:
     def parses(self, text: str) -> bool:
         if self.prepare:
             text = self.prepare(text)
-        known, out = self.known, []
-        if len(known) > 300_000:  # of at most 40 characters each
-            known.clear()
-        for token in self.tokens(text):
-            letter = known.get(token)
-            if letter is None:
-                letter = self.letter(token)
-                if len(token) < 40:
-                    known[token] = letter
-            out.append(letter)
-        flat = "".join(out)
+        flat = "".join(map(self.known.__getitem__, self.tokens(text)))
         if _END in flat:
             return False
         if self.ends:
