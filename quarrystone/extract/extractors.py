@@ -1,8 +1,8 @@
 """Symbols and dependencies of source files, as rows.
 
-Python goes through the standard library's ``ast``; the other languages through line patterns and
-bracket depth. That finds declarations as they are usually laid out (one to a line); it is no full
-grammar, and README lists what it misses.
+Python goes through the standard library's ``ast``; the other languages through patterns on the lines of
+a declaration (up to its body) and bracket depth. That finds declarations as they are usually laid out; it
+is no full grammar, and README lists what it misses.
 """
 
 from __future__ import annotations
@@ -47,15 +47,33 @@ def _python(source: str) -> tuple[list, list]:
     return symbols, deps
 
 
+_CONTINUED = re.compile(r"\s*(?:where\b|throws\b|->|\{|\)|:|extends\b|implements\b)")
+
+
+def _last_line(bare: list[str], n: int) -> int:
+    """The last line of what begins on line n: as far as its parentheses are open or the next line goes on before a body."""
+    opened = bare[n - 1].count("(") - bare[n - 1].count(")")
+    m = n
+    while m < len(bare) and not ("{" in bare[m - 1] or ";" in bare[m - 1]) and (opened > 0 or _CONTINUED.match(bare[m]) or (m > n and bare[m - 1].rstrip().endswith((",", "where")))):
+        m += 1
+        opened += bare[m - 1].count("(") - bare[m - 1].count(")")
+    return m
+
+
 def _by_lines(source: str, language: str) -> tuple[list, list]:
     blank = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
     raw, bare = source.split("\n"), blank.split("\n")
-    symbols, deps, scopes, depth = [], [], [], 0  # scopes: (depth inside, name, kind, index)
+    symbols, deps, scopes, depth, held = [], [], [], 0, 0  # scopes: (depth inside, name, kind, index)
     for n, line in enumerate(bare, 1):
+        if n <= held:  # inside a declaration of several lines
+            depth += line.count("{") - line.count("}")
+            continue
+        last = _last_line(bare, n)
+        whole = line if last == n else " ".join([line.rstrip(), *(x.strip() for x in bare[n:last])])
         inner = next((s for s in reversed(scopes) if s[2] in CONTAINERS.get(language, ())), None)
         function = next((s for s in reversed(scopes) if s[2] in ("function", "method")), None)
         for rule, kind in SYMBOL_RULES[language]:
-            m = rule.match(line)
+            m = rule.match(whole)
             if not m:
                 continue
             groups = m.groupdict()
@@ -63,8 +81,9 @@ def _by_lines(source: str, language: str) -> tuple[list, list]:
             if kind == "method" and not parent:
                 break
             kind = "method" if kind == "function" and parent and language == "rust" else kind
-            symbols.append([groups["name"].strip(), kind, n, n, re.sub(r"\s*\{.*$", "", raw[n - 1].strip()), parent])
-            if "{" in line and line.count("{") > line.count("}"):
+            symbols.append([groups["name"].strip(), kind, n, last, re.sub(r"(?s)\s*\{.*$", "", "\n".join(raw[n - 1 : last]).strip()), parent])
+            held = last
+            if whole.count("{") > whole.count("}"):
                 scopes.append((depth + 1, re.sub(r"^.*\bfor\s+", "", groups["name"]).strip(), kind, len(symbols) - 1))
             function = None
             break
@@ -73,7 +92,7 @@ def _by_lines(source: str, language: str) -> tuple[list, list]:
         if (m := import_targets(language, raw[n - 1])) and IMPORT_RULES[language].match(raw[n - 1]):
             deps += [(n, None, path, name, "imports") for path, name in m]
         depth += line.count("{") - line.count("}")
-        while scopes and depth < scopes[-1][0]:
+        while held <= n and scopes and depth < scopes[-1][0]:
             symbols[scopes.pop()[3]][3] = n
     for scope in scopes:
         symbols[scope[3]][3] = len(raw)

@@ -62,3 +62,47 @@ def test_rows(spark):
     files = spark.createDataFrame([("a.rs", RUST), ("b.txt", "x"), ("c.py", None), ("d.py", "def ("), ("e.go", "")], "path string, source string")
     assert extract_symbols(files).count() == 5
     assert extract_deps(files).where("kind = 'calls'").count() == 3
+
+
+SEVERAL = """impl Db {
+    pub fn upsert(
+        &mut self,
+        path: &str,
+        rows: &[(String, u8)],
+    ) -> Result<usize> {
+        self.run(
+            path,
+        )
+    }
+
+    fn walk<T>(&self, x: T) -> usize
+    where
+        T: Clone,
+    {
+        go(x)
+    }
+}
+
+fn last() {}
+"""
+
+
+@pytest.mark.parametrize(
+    "language,source,want",
+    [
+        ("rust", SEVERAL, [("Db", "impl", 1, 18, None), ("upsert", "method", 2, 10, "Db"), ("walk", "method", 12, 17, "Db"), ("last", "function", 20, 20, None)]),
+        ("java", "class A {\n    public int go(\n            int x,\n            String y)\n            throws IOException {\n        return f(\n            x);\n    }\n}\n", [("A", "class", 1, 9, None), ("go", "method", 2, 8, "A")]),
+        ("c", "static int\nadd(int a,\n    int b)\n{\n  return a;\n}\nint sub(int a,\n        int b)\n{\n  return g(a,\n    b);\n}\n", [("sub", "function", 7, 12, None)]),
+        ("go", "func Do(\n\ta int,\n\tb string,\n) error {\n\treturn f(a)\n}\n", [("Do", "function", 1, 6, None)]),
+        ("typescript", "export async function load(\n  a: string,\n  b = 2,\n): Promise<void> {\n  go(a);\n}\n", [("load", "function", 1, 6, None)]),
+    ],
+)
+def test_declarations_over_several_lines(language, source, want):
+    symbols, deps = extract(source, language)
+    assert names(symbols) == want
+    assert all(d[4] == "calls" for d in deps) and (language != "rust" or ("upsert", "self.run") in {(d[1], d[3]) for d in deps})
+
+
+def test_signature_goes_up_to_the_body():
+    symbols, _ = extract(SEVERAL, "rust")
+    assert symbols[1][4] == "pub fn upsert(\n        &mut self,\n        path: &str,\n        rows: &[(String, u8)],\n    ) -> Result<usize>" and symbols[2][4].endswith("T: Clone,")
