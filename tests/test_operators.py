@@ -284,7 +284,9 @@ def test_debounce_batch(spark):
     for seed in range(2):
         df = spark.createDataFrame(events(seed), "id long, k string, t timestamp")
         assert {r["id"] for r in debounce(df, "k", "t", "id", 500, 2).collect()} == brute_debounce(events(seed), 500)
+        assert {r["id"] for r in debounce(df, "k", "t", "id", 500, 86_400).collect()} == brute_debounce(events(seed), 500)
     assert debounce(df.where("false"), "k", "t", "id").count() == 0
+    assert {r["id"] for r in debounce(df, "k", "t", "id", 0).collect()} == brute_debounce(events(1), 0)
 
 
 def test_debounce_stream_equals_batch(spark, tmp_path):
