@@ -154,16 +154,15 @@ def _scanned(texts: DataFrame, values: DataFrame) -> DataFrame:
     return spread(texts.select("chunk_id", "source")).mapInArrow(run, _PLACES)
 
 
-_KEPT: dict[int, Scanner] = {}
+_KEPT: list = []  # the values of the last broadcast and their scanner
 
 
 def _scanner(shared: Broadcast) -> Scanner:
     """The scanner of a broadcast, built once per worker process; only the last one is kept."""
-    key = shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared.value)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Scanner(*shared.value)
-    return _KEPT[key]
+    values = shared.value
+    if not _KEPT or _KEPT[0] is not values:
+        _KEPT[:] = [values, Scanner(*values)]
+    return _KEPT[1]
 
 
 def anchor(value: str) -> str | None:
