@@ -32,6 +32,12 @@ def imports(deps: DataFrame, path: str) -> DataFrame:
     return deps.where((F.col("source_path") == path) & (F.col("kind") == "imports"))
 
 
+def imports_per_file(deps: DataFrame) -> DataFrame:
+    """(source_path, n_imports, n_targets): import edges of each file and the distinct paths they name."""
+    found = deps.where(F.col("kind") == "imports")
+    return found.groupBy("source_path").agg(F.count("*").alias("n_imports"), F.countDistinct("target_path").alias("n_targets"))
+
+
 def importers(deps: DataFrame, path: str) -> DataFrame:
     return deps.where((F.col("target_path") == path) & (F.col("kind") == "imports"))
 

@@ -71,6 +71,11 @@ def chunk_slices(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     ).withColumn("body_sha256", F.sha2("source", 256)).orderBy("path", "line_start", "symbol")
 
 
+def reuse_counts(pending: DataFrame) -> DataFrame:
+    """(kind, pending, reused): chunks per kind, and those for which ``reusable`` found a header; the rest is work to do."""
+    return pending.groupBy("kind").agg(F.count("*").alias("pending"), F.count("header").alias("reused"))
+
+
 def reusable(pending: DataFrame, stored: DataFrame) -> DataFrame:
     """Pending chunks with the header of a stored chunk of the same path, symbol and body hash.
 

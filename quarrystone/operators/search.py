@@ -116,6 +116,17 @@ def one_per_id(chunks: DataFrame, columns: list[str]) -> DataFrame:
     return chunks.where("id is not null").groupBy("id").agg(last).select("id", *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
+def with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks (id, ...) with the vector of vectors (chunk_id, embedding), each id once; chunks without one drop out."""
+    columns = [c for c in chunks.columns if c not in ("id", "embedding")]
+    return one_per_id(chunks, columns).join(vectors.select(F.col("chunk_id").alias("id"), "embedding"), "id")
+
+
+def exact_symbols(chunks: DataFrame, tokens: list[str]) -> DataFrame:
+    """(id, symbol) of the chunks whose symbol is exactly one of the tokens, each once."""
+    return chunks.where(F.col("symbol").isin(tokens)).select("id", "symbol").distinct()
+
+
 def best_per_file(hits: DataFrame, k: int) -> DataFrame:
     """The best hit of each path among the best 4 k hits, at most k paths. Ties break by id."""
     pool = hits.orderBy("rank", "id").limit(4 * k)
@@ -219,7 +230,7 @@ def fused(chunks: DataFrame, vectors: DataFrame | None, text: str, query_vector:
         scored = known.groupBy(F.col("chunk_id").alias("id")).agg(F.max(cosine(F.col("embedding"), q)).alias("score"))
         signals.append(_normalised(scored).withColumn("score", F.col("score") * WEIGHTS["vector"]))
     if tokens := query_tokens(text):
-        exact = chunks.where(F.col("symbol").isin(tokens)).select("id").distinct()
+        exact = exact_symbols(chunks, tokens).select("id").distinct()
         signals.append(exact.withColumn("score", F.lit(WEIGHTS["symbol"])))
     top = reduce(DataFrame.unionByName, signals).groupBy("id").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
     columns = ["id", "path", "symbol", "kind", "line_start", "line_end", "header"]

@@ -18,6 +18,12 @@ def put(meta: DataFrame, rows: DataFrame) -> DataFrame:
     return meta.join(new, "key", "left_anti").select("key", "value").unionByName(new)
 
 
+def value_of(meta: DataFrame, key: str, default: str | None = None) -> str | None:
+    """The value of one key; the default where the key is missing or its value null."""
+    rows = meta.where((F.col("key") == key) & F.col("value").isNotNull()).agg(F.max("value").alias("value")).collect()
+    return default if rows[0]["value"] is None else rows[0]["value"]
+
+
 def drop_prefix(meta: DataFrame, prefix: str = CACHE_PREFIX) -> DataFrame:
     return meta.where(F.col("key").isNull() | ~F.startswith("key", F.lit(prefix)))
 

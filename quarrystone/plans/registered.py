@@ -48,7 +48,12 @@ def callees(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def imports_per_file(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "deps").where("kind = 'imports'").groupBy("source_path").agg(F.count("*").alias("n_imports"), F.countDistinct("target_path").alias("n_targets"))
+    return graph.imports_per_file(read(s, d, "deps"))
+
+
+@query
+def imports_of_path(s: SparkSession, d: str) -> DataFrame:
+    return graph.imports(read(s, d, "deps"), "corelane/pkg/tepifa/telemetry.py").select("id", "target_path", "target_symbol")
 
 
 @query
@@ -246,8 +251,9 @@ def nearest_vectors(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunks_with_vectors(s: SparkSession, d: str) -> DataFrame:
-    vectors = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").alias("dim"))
-    return read(s, d, "chunks").select("id", "path", "symbol").distinct().join(vectors, "id")
+    vectors = read(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    found = search.with_vectors(read(s, d, "chunks").select("id", "path", "symbol"), vectors)
+    return found.select("id", "path", "symbol", F.size("embedding").alias("dim"))
 
 
 @query
@@ -275,7 +281,7 @@ def fused_search(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def exact_symbol_hits(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "chunks").where(F.col("symbol").isin("reset", "run", "Parse")).select("id", "symbol").distinct()
+    return search.exact_symbols(read(s, d, "chunks"), ["reset", "run", "Parse"])
 
 
 @query
@@ -319,7 +325,7 @@ def chunk_reuse(s: SparkSession, d: str) -> DataFrame:
     chunks = read(s, d, "chunks").select("id", "path", "symbol", "kind", "header", "body_sha256")
     pending = chunks.withColumn("header", F.lit(None).cast("string"))
     found = indexing.reusable(pending, chunks.where("kind != 'method'"))
-    return found.groupBy("kind").agg(F.count("*").alias("pending"), F.count("header").alias("reused"))
+    return indexing.reuse_counts(found)
 
 
 @query

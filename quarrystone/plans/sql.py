@@ -69,6 +69,7 @@ SQL: dict[str, str] = {
     "callers": "select id, source_path, source_symbol, target_symbol from deps where target_symbol = 'trace_span' and kind = 'calls'",
     "callees": "select id, source_path, source_symbol, target_symbol from deps where source_symbol = 'run' and kind = 'calls'",
     "imports_per_file": "select source_path, count(*) as n_imports, count(distinct target_path) as n_targets from deps where kind = 'imports' group by 1",
+    "imports_of_path": "select id, target_path, target_symbol from deps where kind = 'imports' and source_path = 'corelane/pkg/tepifa/telemetry.py'",
     "importers": "select id, source_path, target_symbol from deps where target_path = 'stavework' and kind = 'imports'",
     "chunk_for_symbol": "select distinct id, path, kind, line_start, line_end from chunks where id = (select min(id) from chunks where symbol = 'reset')",
     "suggestions": f"select name from (select name, min(struct_pack(a := path, b := line_start, c := id)) as f from {_LIVE} where regexp_matches(name, '(?i)lease') group by 1) order by f, name limit 5",

@@ -68,3 +68,8 @@ def test_change_stream(spark, tmp_path):
     q.stop()
     assert sorted(r["event_id"] for r in spark.sql("select event_id from changed").collect()) == [1, 3]
     assert rows(change_rates(df).select("repo", "status", "n")) == [("build", "added", 1), ("r", "added", 1), ("r", "deleted", 1), ("r", "modified", 1)]
+
+
+def test_value_of_a_key(spark):
+    meta = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", None), (None, "x")], META)
+    assert (store.value_of(meta, "a"), store.value_of(meta, "b", "d"), store.value_of(meta, "c"), store.value_of(meta.where("false"), "a", "z")) == ("1", "d", None, "z")
