@@ -141,27 +141,27 @@ def _packed(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048, per_scan: int = 16) -> DataFrame:
     """(query_id, vec_id, score, n): the k vectors of greatest cosine for each query, ties by vec_id.
 
     ``vectors`` and ``queries`` have an id and an array column, in this order. Exact. Queries go
-    through in blocks of at most ``block`` rows, so what a task holds is bounded whatever their
-    number; each task scores its batches with one matrix product and keeps k rows a query, which a
-    window then merges. Null, empty and zero vectors and those of another length score 0.
+    through in blocks of at most ``block`` rows, of which a scan of the vectors takes ``per_scan``, so
+    what the driver and a task hold is bounded whatever their number; each task scores its batches with
+    one matrix product a block and keeps k rows a query, which a window then merges. Null, empty and zero vectors and those of another length score 0.
     """
     vid, vec = vectors.columns[:2]
     qid, qvec = queries.columns[:2]
     numbered = queries.where(F.col(qvec).isNotNull() & F.col(qid).isNotNull()).select(qid, qvec)
     parts, last = [], None
-    while True:  # key-set paging: one block of queries at a time is on the driver
+    while True:  # key-set paging: the queries of one scan at a time are on the driver
         page = numbered if last is None else numbered.where(F.col(qid) > last)
-        rows = page.orderBy(qid).limit(block).collect()
+        rows = page.orderBy(qid).limit(block * per_scan).collect()
         if not rows:
             break
         last = rows[-1][0]
         for dim in sorted({len(r[1]) for r in rows}):
             ids, m = _packed([r for r in rows if len(r[1]) == dim])
-            parts.append(_scored(vectors.select(vid, vec), ids, m, k))
+            parts.append(_scored(vectors.select(vid, vec), ids, m, k, block))
     schema = "query_id bigint, vec_id bigint, score double, n int"
     if not parts:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -170,11 +170,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -
     return merged.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
 
 
-def _scored(vectors: DataFrame, ids: np.ndarray, m: np.ndarray, k: int) -> DataFrame:
+def _scored(vectors: DataFrame, ids: np.ndarray, m: np.ndarray, k: int, block: int) -> DataFrame:
     dim = m.shape[1]
+    cuts = [slice(a, a + block) for a in range(0, len(ids), block)]
 
     def run(batches):
-        best_s, best_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        best = [(np.full((len(ids[c]), 0), -np.inf), np.zeros((len(ids[c]), 0), np.int64)) for c in cuts]
         for batch in batches:
             lists = batch.column(1)
             lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -185,13 +186,14 @@ def _scored(vectors: DataFrame, ids: np.ndarray, m: np.ndarray, k: int) -> DataF
                 flat[fits] = lists.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             norm = np.linalg.norm(flat, axis=1, keepdims=True)
             unit = np.divide(flat, norm, out=np.zeros_like(flat), where=norm > 0)
-            s = np.concatenate([best_s, m @ unit.T], axis=1)
-            i = np.concatenate([best_i, np.broadcast_to(vids, (len(ids), len(vids)))], axis=1)
-            order = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        n = best_s.shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "vec_id", "score"])
+            for at, c in enumerate(cuts):
+                s = np.concatenate([best[at][0], m[c] @ unit.T], axis=1)
+                i = np.concatenate([best[at][1], np.broadcast_to(vids, (len(s), len(vids)))], axis=1)
+                order = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
+                best[at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        for c, (s, i) in zip(cuts, best, strict=True):
+            if s.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[c], s.shape[1])), pa.array(i.ravel()), pa.array(s.ravel())], names=["query_id", "vec_id", "score"])
 
     return vectors.where(F.col(vectors.columns[0]).isNotNull()).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
