@@ -313,14 +313,17 @@ noperand = LIT | 'func' signature block | (= ('[' | 'map')) type (literal | (= '
 }
 
 _JSX = regex.compile(
-    r"(?<=(?:[=(,:?&|\[{}>;]|=>|\breturn|\bdefault)\s*)(?P<jsx><(?:(?P<tag>[A-Za-z][\w.:-]*)(?:<[^<>()]*>)?(?&attrs)(?:/>|>(?&inside)*</[\w.:-]+\s*>)|>(?&inside)*</>))"
-    r"(?(DEFINE)(?P<attrs>(?:\s+(?:[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?&code)))?|(?&code)))*+\s*+)(?P<code>\{(?:[^{}\"'`]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|(?&code))*+\})(?P<inside>[^<>{}]|(?&code)|(?&jsx)))"
+    r"<(?:[A-Za-z][\w.:-]*(?:<[^<>()]*>)?(?&attrs)(?:/>|>(?:[^<>{}]|(?&code))*+</[\w.:-]+\s*>)|>(?:[^<>{}]|(?&code))*+</>)"
+    r"(?(DEFINE)(?P<attrs>(?:\s+(?:[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?&code)))?|(?&code)))*+\s*+)(?P<code>\{(?:[^{}\"'`]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|(?&code))*+\}))"
 )
 
 
 def _without_jsx(text: str) -> str:
-    """Elements of JSX as literals; code inside them is only balanced."""
-    return _JSX.sub('""', text) if "</" in text or "/>" in text else text
+    """Elements of JSX as literals, the innermost first; code inside them is only balanced."""
+    found = "</" in text or "/>" in text
+    while found:
+        text, found = _JSX.subn('""', text)
+    return text
 
 
 _TEMPLATE = regex.compile(r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?P<code>(?:[^{}`\"']|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\{(?&code)\}|(?R))*+)\})*+`")

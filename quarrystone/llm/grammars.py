@@ -54,9 +54,11 @@ class Grammar:
             self.made[name][0] = self._remembered(name, self._function(node))
 
     def match(self, flat: str) -> bool:
-        for kept in self.kept.values():
-            kept.clear()
-        return self.made["unit"][0](flat + _END, 0) == len(flat)
+        try:
+            return self.made["unit"][0](flat + _END, 0) == len(flat)
+        finally:
+            for kept in self.kept.values():
+                kept.clear()
 
     def _parsed(self, items: list[str], rules: dict[str, str]) -> Node:
         def choice() -> Node:

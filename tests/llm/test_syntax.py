@@ -63,6 +63,9 @@ def test_long_and_deep_texts_end_soon(language):
     parses("x = " + "(" * 400 + "1" + ")" * 400 + ";", language)
     parses("{" * 3000, language)
     parses("f(a, b);\n" * 20_000, language)
+    parses("x = <a>" * 2_000 + "</", language)
+    parses("`${" * 2_000 + "}", language)
+    parses("a < b > c " * 5_000 + "/>;", language)
     assert time.time() - began < 20
 
 
