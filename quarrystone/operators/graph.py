@@ -11,6 +11,7 @@ from ..functions.text import contains_like
 
 SYMBOL_COLUMNS = ("name", "kind", "path", "line_start", "line_end", "signature", "parent")
 EDGE_KINDS = ("calls", "imports")
+SLICE_EDGES = 4096  # edges to one bare name whose pairs are made together; more are divided
 
 
 def find_symbols(symbols: DataFrame, pattern: str, kind: str | None = None) -> DataFrame:
@@ -91,6 +92,28 @@ def returned(rows: DataFrame, items: list[str], limit: int | None = None) -> Dat
     return out if limit is None else out.limit(limit)
 
 
+def _with_sources(edges: DataFrame, a: DataFrame) -> DataFrame:
+    """The edges with each symbol that they leave; a null source_symbol stands for every symbol of the file."""
+    exact = edges.where("source_symbol is not null").join(a, (F.col("source_symbol") == F.col("a.name")) & (F.col("source_path") == F.col("a.path")))
+    whole_file = edges.where("source_symbol is null").join(a, F.col("source_path") == F.col("a.path"))
+    return exact.unionByName(whole_file)
+
+
+def _with_named(sourced: DataFrame, b: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of ``sourced`` with every symbol b of their target_symbol, in any file.
+
+    The edges of a name times its symbols can be far more rows than both, so nothing is shuffled after
+    this join. A name with more than SLICE_EDGES edges is divided into slices by the source, and its
+    symbols are sent to each of them; such names, at most one in SLICE_EDGES of ``edges``, are broadcast.
+    """
+    counts = edges.groupBy(F.col("target_symbol").alias("often")).agg(F.count("*").alias("n")).where(F.col("n") > SLICE_EDGES)
+    often = F.broadcast(counts.select("often", F.ceil(F.col("n") / SLICE_EDGES).alias("slices")))
+    slices = F.coalesce(F.col("slices"), F.lit(1).cast("long"))
+    left = sourced.join(often, F.col("target_symbol") == F.col("often"), "left").withColumn("part", F.pmod(F.xxhash64("a.name", "a.path"), slices))
+    right = b.join(often, F.col("b.name") == F.col("often"), "left").select("b", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("in_part"))
+    return left.join(right, (F.col("target_symbol") == F.col("b.name")) & (F.col("part") == F.col("in_part")))
+
+
 def match_edges(
     symbols: DataFrame,
     deps: DataFrame,
@@ -105,7 +128,8 @@ def match_edges(
     the symbol columns. A null source_symbol stands for every symbol of the source file and a null
     target_path for every symbol of that name, wherever it is; repeated edges and symbols multiply
     rows (bag semantics). Each null case is an equi join of its own, so no join has an OR in its
-    condition and AQE can split skewed keys.
+    condition and AQE can split skewed keys. Names without a path are looked up last, as their pairs
+    may grow with the square of the tables.
     """
     if kind.lower() not in EDGE_KINDS:
         raise ValueError(f"unknown edge: {kind}")
@@ -113,12 +137,9 @@ def match_edges(
     a = match_nodes(symbols, *source).select(pack.alias("a"))
     b = match_nodes(symbols, *target).select(pack.alias("b"))
     edges = deps.where(F.col("kind") == kind.lower()).select("source_path", "source_symbol", "target_path", "target_symbol")
-    exact_target = edges.where("target_path is not null").join(b, (F.col("target_symbol") == F.col("b.name")) & (F.col("target_path") == F.col("b.path")))
-    any_target = edges.where("target_path is null").join(b, F.col("target_symbol") == F.col("b.name"))
-    reached = exact_target.unionByName(any_target).select("source_path", "source_symbol", "b")
-    exact_source = reached.where("source_symbol is not null").join(a, (F.col("source_symbol") == F.col("a.name")) & (F.col("source_path") == F.col("a.path")))
-    any_source = reached.where("source_symbol is null").join(a, F.col("source_path") == F.col("a.path"))
-    found = exact_source.unionByName(any_source).select("a", "b")
+    exact, bare = edges.where("target_path is not null"), edges.where("target_path is null")
+    reached = exact.join(b, (F.col("target_symbol") == F.col("b.name")) & (F.col("target_path") == F.col("b.path")))
+    found = _with_sources(reached, a).select("a", "b").unionByName(_with_named(_with_sources(bare, a), b, bare).select("a", "b"))
     return found if limit is None else found.limit(limit)
 
 

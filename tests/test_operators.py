@@ -84,6 +84,36 @@ def test_edges_match_brute_force(small_graph):
         assert rows(got) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("per_slice", [7, 4096])
+def test_pairs_of_a_common_name_are_not_shuffled(spark, monkeypatch, per_slice):
+    monkeypatch.setattr(graph, "SLICE_EDGES", per_slice)
+    s = [(f"f{i}", "function", f"{i}.py") for i in range(30)] + [("run", "function", f"{i}.py") for i in range(20)] * 2
+    symbols = spark.createDataFrame([(i, p, n, k, i, i + 1, "", None, None, None) for i, (n, k, p) in enumerate(s)], schema.SYMBOLS)
+    d = [(f"{i}.py", None if i % 5 == 0 else f"f{i}", "3.py" if i % 7 == 0 else None, t) for i in range(30) for t in ("run", "run", f"f{i // 2}", "print")]
+    deps = spark.createDataFrame([(i, p, n, c, t, "calls", None, None) for i, (p, n, c, t) in enumerate(d)], schema.DEPS)
+    want = [(a[0], a[2], b[0], b[2]) for sp, ss, tp, ts in d for a in s for b in s if a[2] == sp and ss in (None, a[0]) and b[0] == ts and tp in (None, b[2])]
+    kept = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        got = graph.match_edges(symbols, deps, "calls").select("a.name", "a.path", "b.name", "b.path", F.spark_partition_id())
+        found = got.collect()
+        plans, written = [got._jdf.queryExecution().executedPlan()], []
+        while plans:
+            plan = plans.pop()
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+            if plan.nodeName() == "Exchange":
+                written.append(plan.metrics().apply("shuffleRecordsWritten").value())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r)[:4] for r in found) == sorted(want) and len(want) > 2000
+    assert written and max(written) < 400  # the larger table or the sources of its edges, never their pairs
+    runs = [r[4] for r in found if r[2] == "run"]
+    assert per_slice > len(d) or max(map(runs.count, set(runs))) < 0.7 * len(runs)
+
+
 def test_pattern_errors_and_conditions(small_graph):
     symbols, deps, *_ = small_graph
     with pytest.raises(ValueError, match="unknown property"):
